@@ -104,3 +104,78 @@ def topic_words(spark: SparkSession) -> DataFrame:
 
 def topic_labels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TOPIC_LABELS.items()), "topic_id int, label string")
+
+
+# ---------------------------------------------------------------------------
+# Nested views built from documents (Spark side only; oracles read documents)
+# ---------------------------------------------------------------------------
+
+WORKS_PAGE_SIZE = 100  # items per landed page (bounded page size)
+
+# Which generated items lack a field (by source name, so every row is kept
+# in the scan and the rule is visible in the oracle):
+NO_AUTHOR_SOURCE = "src0"          # author = []
+NO_AFFILIATION_SOURCE = "src1"     # first author has affiliation = []
+NULL_AFF_NAME_SOURCE = "src2"      # affiliation name null
+NO_PUBLISHED_SOURCE = "src3"       # published missing
+NULL_DATE_PART_SOURCE = "src4"     # date-parts [[null]]
+NO_ABSTRACT_SOURCE = "src5"        # abstract missing
+EMPTY_ABSTRACT_SOURCE = "src6"     # abstract ""
+NO_ORG_LANG = "de"                 # odd records in this language have no organisation
+
+
+def works_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_no, body): documents as works-API pages of WORKS_PAGE_SIZE items."""
+    d = documents(spark, sf_dir)
+    src = F.col("source")
+    name = F.when(src == NULL_AFF_NAME_SOURCE, F.lit(None).cast("string")).otherwise(
+        F.concat(F.lit(" Institute "), src, F.lit(" ")))
+    aff = F.when(src == NO_AFFILIATION_SOURCE, F.array().cast("array<struct<name:string>>")).otherwise(
+        F.array(F.struct(name.alias("name"))))
+    author = F.when(src == NO_AUTHOR_SOURCE,
+                    F.array().cast("array<struct<affiliation:array<struct<name:string>>>>")).otherwise(
+        F.array(F.struct(aff.alias("affiliation"))))
+    year = (F.lit(2016) + F.col("doc_id") % 8).cast("int")
+    parts = F.when(src == NULL_DATE_PART_SOURCE, F.array(F.array(F.lit(None).cast("int")))).otherwise(
+        F.array(F.array(year, F.lit(1), F.lit(1))))
+    published = F.when(src != NO_PUBLISHED_SOURCE, F.struct(parts.alias("date-parts")))
+    abstract = (F.when(src == NO_ABSTRACT_SOURCE, F.lit(None).cast("string"))
+                 .when(src == EMPTY_ABSTRACT_SOURCE, F.lit("")).otherwise(F.col("text")))
+    item = F.struct(F.array(F.concat(F.lit(" "), F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(" ")))
+                    .alias("title"), author.alias("author"), published.alias("published"),
+                    abstract.alias("abstract"))
+    page_no = F.floor(F.col("doc_id") / WORKS_PAGE_SIZE).cast("int")
+    grouped = d.select(page_no.alias("page_no"), item.alias("item")).groupBy("page_no").agg(
+        F.collect_list("item").alias("items"))
+    message = F.struct(F.col("items").alias("items"), (F.col("page_no") + 1).cast("string").alias("next-cursor"))
+    return grouped.select("page_no", F.to_json(F.struct(message.alias("message"))).alias("body"))
+
+
+def records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(filename, body): one nested abstract record per document.
+
+    Even doc ids hold a single author group (object) whose organisation is a
+    list; odd ones hold a list of groups, the first without organisation.
+    """
+    d = documents(spark, sf_dir)
+    org_t = "struct<`$`:string>"
+    inst = F.concat(F.lit("Institute "), F.col("source"))
+    dept = F.concat(F.lit("Department "), F.col("source"))
+    univ = F.when(F.col("lang") != NO_ORG_LANG, F.concat(F.lit("University "), F.col("source")))
+    obj_group = F.struct(F.struct(F.array(F.struct(dept.alias("$")), F.struct(inst.alias("$")))
+                                  .alias("organization")).alias("affiliation"))
+    no_org = F.struct(F.struct(F.lit(None).cast(org_t).alias("organization")).alias("affiliation"))
+    univ_org = F.when(univ.isNotNull(), F.struct(univ.alias("$")))
+    arr_group = F.array(no_org, F.struct(F.struct(univ_org.alias("organization")).alias("affiliation")))
+
+    def record(group):
+        head = F.struct(group.alias("author-group"), F.col("text").alias("abstracts"),
+                        F.split_part("text", F.lit("\n"), F.lit(1)).alias("citation-title"))
+        year = F.struct(F.struct((F.lit(2016) + F.col("doc_id") % 8).cast("string").alias("@year"))
+                        .alias("ait:date-delivered"))
+        item = F.struct(year.alias("ait:process-info"), F.struct(head.alias("head")).alias("bibrecord"))
+        return F.to_json(F.struct(F.struct(item.alias("item")).alias("abstracts-retrieval-response")))
+
+    body = F.when(F.col("doc_id") % 2 == 0, record(obj_group)).otherwise(record(arr_group))
+    filename = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json"))
+    return d.select(filename.alias("filename"), body.alias("body"))

@@ -9,7 +9,8 @@ from litspark.functions import text as T
 from litspark.functions.constants import COMMON_WORDS, STOPWORDS_V1, STOPWORDS_V2
 from litspark.operators.lookup import scalar
 
-EMPTY_TOKENS = F.array().cast("array<string>")
+def empty_tokens():
+    return F.array().cast("array<string>")
 
 
 def tokenize_v1(df: DataFrame, text_col: str = "abstract", id_col: str = "paper_id",
@@ -26,7 +27,7 @@ def english_tokens(df: DataFrame, text_col: str = "abstract", lang_col: str = "l
     ``litspark.operators.lang.detect_language``).
     """
     words = STOPWORDS_V2 if stopwords is None else stopwords
-    tokens = F.when(F.col(lang_col) == "en", T.tokenize(text_col, words)).otherwise(EMPTY_TOKENS)
+    tokens = F.when(F.col(lang_col) == "en", T.tokenize(text_col, words)).otherwise(empty_tokens())
     return df.withColumn(out_col, tokens)
 
 
