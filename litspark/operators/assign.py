@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import text as T
 from litspark.functions.constants import FALLBACK_LABEL_WORDS, LABEL_PROMPT_PREFIX
-from litspark.operators.lookup import DEFAULT_INLINE_ROWS, bounded_rows, require_bounded
+from litspark.operators.lookup import DEFAULT_INLINE_ROWS, at_most, bounded_rows, require_bounded
 
 
 def _topic_sets(rows) -> tuple[list[int], list[list[str]]]:
@@ -44,12 +44,13 @@ def assign_topic(df: DataFrame, topic_words: DataFrame, tokens_col: str = "token
     if rows is None:
         return _assign_by_join(df, topic_words, tokens_col, id_col, out_col, unmatched)
     ids, sets = _topic_sets(rows)
-    scores = _score_column(F.col(tokens_col), sets)
+    scored = df.withColumn("_scores", _score_column(F.col(tokens_col), sets))
+    scores = F.col("_scores")
     best = F.element_at(F.array(*[F.lit(i) for i in ids]),
                         F.array_position(scores, F.array_max(scores)).cast("int"))
     if unmatched == "null":
         best = F.when(F.array_max(scores) > 0, best)
-    return df.withColumn(out_col, best.cast("int"))
+    return scored.withColumn(out_col, best.cast("int")).drop("_scores")
 
 
 def _assign_by_join(df, topic_words, tokens_col, id_col, out_col, unmatched):
@@ -94,7 +95,7 @@ def topic_names(topic_words: DataFrame, labels: DataFrame | None = None,
 def attach_labels(df: DataFrame, names: DataFrame, topic_col: str = "topic_id",
                   out_col: str = "assigned_topic", max_inline: int = DEFAULT_INLINE_ROWS) -> DataFrame:
     """Topic id → label. The names table is broadcast only after its size is checked."""
-    small = bounded_rows(names.select("topic_id"), max_inline) is not None
+    small = at_most(names, max_inline)
     side = F.broadcast(names) if small else names
     side = side.select(F.col("topic_id").alias(topic_col), F.col("label").alias(out_col))
     return df.join(side, topic_col, "left")

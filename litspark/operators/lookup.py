@@ -40,3 +40,8 @@ def scalar(df: DataFrame):
     """First column of a one-row aggregate."""
     row = df.first()
     return None if row is None else row[0]
+
+
+def at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (counted on the executors)."""
+    return df.limit(max_rows + 1).count() <= max_rows
