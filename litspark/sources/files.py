@@ -78,7 +78,11 @@ def read_json_tree(spark: SparkSession, base: str, schema: T.StructType = RECORD
     rel = F.when(rel.startswith(prefix), F.substring(rel, len(prefix) + 1, 1 << 30)).otherwise(rel)
     raw = raw.withColumn("filename", rel)
     bad = F.col(CORRUPT).isNotNull()
-    return raw.filter(~bad).drop(CORRUPT), raw.filter(bad).select("filename")
+    # Spark refuses scans that need only the corrupt-record column, so the
+    # rejects also carry a (null) flag read from the first data field.
+    parsed_flag = F.col(schema.fields[0].name).isNotNull().alias("parsed")
+    rejects = raw.filter(bad).select("filename", F.col(CORRUPT).alias("raw_text"), parsed_flag)
+    return raw.filter(~bad).drop(CORRUPT), rejects
 
 
 def records_from_strings(df: DataFrame, body_col: str = "body", schema: T.StructType = RECORD_SCHEMA

@@ -1,0 +1,132 @@
+"""Filters, joins and aggregates (P, J, A, C rows) on in-line frames."""
+
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from litspark.operators import assign, clean, geo, stats
+
+
+def test_drop_affiliations_null_and_padding(spark):
+    df = spark.createDataFrame([(1, "Independent Researcher"), (2, "INDEPENDENT"), (3, " independent "),
+                                (4, None), (5, "Uni")], "paper_id int, affiliation string")
+    kept = sorted(r[0] for r in clean.drop_affiliations(df).collect())
+    assert kept == [3, 4, 5]
+
+
+def test_year_cut_and_report(spark):
+    df = spark.createDataFrame([(2019,), (2020,), (None,), (2023,)], "year int")
+    assert clean.after_year(df).count() == 2
+    r = clean.year_cut_report(df).first()
+    assert (r["rows_removed"], r["rows_remaining"]) == (1, 2)   # null year in neither half
+
+
+def test_dedup_keeps_smallest_id(spark):
+    df = spark.createDataFrame([(5, "t", "a", 2020, "x", "en"), (2, "t", "a", 2020, "x", "fr"),
+                                (3, "t", "b", 2020, "x", "en")],
+                               "paper_id int, title string, affiliation string, year int, abstract string, lang string")
+    out = sorted(map(tuple, clean.dedup_rows(df).select("paper_id", "affiliation", "lang").collect()))
+    assert out == [(2, "a", "fr"), (3, "b", "en")]
+
+
+def test_search_rules(spark):
+    df = spark.createDataFrame([(1, "Carbon Capture", "Soil study"), (2, None, "Ocean heat"),
+                                (3, "none", None)], "id int, assigned_topic string, title string")
+    ids = lambda q: sorted(r[0] for r in stats.search(df, q).collect())
+    assert ids("") == [1, 2, 3]            # empty query: everything
+    assert ids("   ") == []                # whitespace only: nothing
+    assert ids("capture OCEAN") == [1, 2]  # any word, either column, case-insensitive
+    assert ids("none") == [3]              # nulls never match (no "None" text)
+
+
+def test_region_filter_substring_semantics(spark):
+    df = spark.createDataFrame([(1, "Kyiv Univ, Ukraine"), (2, "Oxford, UK"), (3, None), (4, "Paris, France")],
+                               "id int, affiliation string")
+    assert sorted(r[0] for r in stats.in_region(df, "Europe").collect()) == [1, 2, 4]
+    assert sorted(r[0] for r in stats.in_region(df, ["UK"]).collect()) == [1, 2]   # UK matches Ukraine
+    assert stats.in_region(df, "All").count() == 4
+
+
+def test_country_counts_inline_equals_join_path(spark):
+    papers = spark.createDataFrame(
+        [("t1", "Inst, NATION_1"), ("t2", "Inst, NATION_12"), ("t3", "Inst, NATION_12"), (None, "Inst, NATION_2"),
+         ("t5", None)], "title string, affiliation string")
+    countries = spark.createDataFrame([("NATION_1",), ("NATION_12",), ("NATION_3",)], "country string")
+    inline = sorted(map(tuple, geo.country_paper_count(papers, countries).collect()))
+    joined = sorted(map(tuple, geo.country_paper_count(papers, countries, max_inline=0).collect()))
+    assert inline == joined == [("NATION_1", 3), ("NATION_12", 2), ("NATION_3", 0)]
+    dens = {r[0]: r[2] for r in geo.country_density(papers, countries).collect()}
+    assert dens == {"NATION_1": "High", "NATION_12": "High", "NATION_3": "No Papers"}
+
+
+def test_density_class_boundaries(spark):
+    df = spark.createDataFrame([(0,), (32,), (33,), (65,), (66,), (150,), (None,)], "v int")
+    got = [r[0] for r in df.select(geo.density_class(F.col("v"), F.lit(100))).collect()]
+    assert got == ["No Papers", "Low", "Medium", "Medium", "High", "High", "No Papers"]
+
+
+def test_kpis_counts_null_affiliation_once(spark):
+    df = spark.createDataFrame([("a", 2020), (None, 2021), (None, 2023), ("b", 2022)],
+                               "affiliation string, year int")
+    r = stats.kpis(df).first()
+    assert (r["total_papers"], r["n_affiliations"], r["year_range"]) == (4, 3, "2020 - 2023")
+
+
+def test_geocode_is_equality_not_substring(spark):
+    papers = spark.createDataFrame([("Inst, NATION_14",), ("Inst, nation_1",), ("Solo",)], "affiliation string")
+    gaz = spark.createDataFrame([("NATION_1", 1.0, 2.0)], "place string, latitude double, longitude double")
+    out = [r[0] for r in geo.geocode_affiliations(papers, gaz).collect()]
+    assert out == ["Inst, nation_1"]
+
+
+def test_pivot_onehot_latitude(spark):
+    df = spark.createDataFrame([(1, "A", 0, 12.0), (2, "A", 1, 14.0), (3, "B", 1, -3.0), (4, "A", 1, 18.0)],
+                               "paper_id int, affiliation string, topic_id int, latitude double")
+    piv = {r[0]: tuple(r[1:]) for r in stats.topic_pivot(df, [0, 1, 2]).collect()}
+    assert piv == {"A": (1, 2, 0), "B": (0, 1, 0)}
+    oh = assign.one_hot(df, [0, 1, 2]).collect()
+    assert all(sum(r[1:]) == 1 for r in oh)
+    dom = {r[0]: r[1] for r in stats.dominant_topic_by_latitude(df, 10.0).collect()}
+    assert dom == {10.0: 1, -10.0: 1}
+
+
+TOPICS = {0: ["a", "b", "c"], 1: ["c", "d"], 2: ["e", "f", "g"]}
+
+
+def brute_force(tokens):
+    words = set(tokens)
+    scores = [len(words & set(TOPICS[t])) for t in sorted(TOPICS)]
+    return scores.index(max(scores))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(list("abcdefgxyz")), max_size=12), min_size=1, max_size=20))
+def test_assign_matches_brute_force(spark, docs):
+    tw = spark.createDataFrame([(t, r, w) for t, ws in TOPICS.items() for r, w in enumerate(ws)],
+                               "topic_id int, rank int, term string")
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "paper_id int, tokens array<string>")
+    inline = {r[0]: r[1] for r in assign.assign_topic(df, tw).select("paper_id", "topic_id").collect()}
+    joined = {r[0]: r[1] for r in assign.assign_topic(df, tw, max_inline=0).select("paper_id", "topic_id").collect()}
+    expect = {i: brute_force(d) for i, d in enumerate(docs)}
+    assert inline == expect == joined
+
+
+def test_labels_fallback_and_quotes(spark):
+    tw = spark.createDataFrame([(0, 0, "x"), (1, 0, "p"), (1, 1, "q"), (1, 2, "r"), (1, 3, "s")],
+                               "topic_id int, rank int, term string")
+    labels = spark.createDataFrame([(0, 'A "quoted" one')], "topic_id int, label string")
+    names = {r[0]: r[1] for r in assign.topic_names(tw, labels).collect()}
+    assert names == {0: "A quoted one", 1: "p, q, r"}
+    prompts = {r[0]: r[1] for r in assign.label_prompts(tw).collect()}
+    assert prompts[1].endswith("topic: p, q, r, s.")
+
+
+def test_top_terms_per_group_tiebreak(spark):
+    rows = [("g", f"w{i}", random.Random(i).randint(1, 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "g string, term string, n int")
+    got = [(r["term"], r["rank"]) for r in
+           stats.top_terms_per_group(df, "g", "term", "n", 5).orderBy("rank").collect()]
+    expect = sorted(rows, key=lambda r: (-r[2], r[1]))[:5]
+    assert [t for t, _ in got] == [r[1] for r in expect]
