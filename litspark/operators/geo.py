@@ -84,7 +84,10 @@ def country_paper_count(df: DataFrame, countries: DataFrame, country_col: str =
     """Papers per country: the sum of per-affiliation title counts over every
     affiliation containing the country name; 0 when none. One affiliation can
     count for several countries (substring semantics)."""
-    per_aff = papers_per_affiliation(df)
+    return _country_counts(papers_per_affiliation(df), countries, country_col, max_inline)
+
+
+def _country_counts(per_aff: DataFrame, countries: DataFrame, country_col: str, max_inline: int) -> DataFrame:
     matched = contains_matches(per_aff, "affiliation", countries.select(country_col), max_inline)
     per_name = matched.groupBy(F.col("name").alias(country_col)).agg(F.sum("n_papers").alias("_n"))
     return (countries.join(per_name, country_col, "left")
@@ -105,8 +108,9 @@ def country_density(df: DataFrame, countries: DataFrame, country_col: str = "cou
     """Country counts with their density class. The reference maximum is the
     largest per-affiliation count (1 when there is none), so a country sum can
     exceed it; the class saturates at High."""
-    max_count = scalar(papers_per_affiliation(df).agg(F.max("n_papers"))) or 1
-    counts = country_paper_count(df, countries, country_col, max_inline)
+    per_aff = papers_per_affiliation(df).persist()  # one row per affiliation; read twice
+    max_count = scalar(per_aff.agg(F.max("n_papers"))) or 1
+    counts = _country_counts(per_aff, countries, country_col, max_inline)
     return counts.withColumn("density_class", density_class(F.col("paper_count"), F.lit(max_count)))
 
 

@@ -47,7 +47,8 @@ class LanguageProfile:
 def train_profile(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageProfile:
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.explode(char_grams(F.col(text_col))).alias("gram"))
-    counts = rows.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c"))
+    # Model-sized (languages × distinct trigrams); read four times below.
+    counts = rows.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("c")).persist()
     langs = sorted(r[0] for r in require_bounded(counts.select("lang").distinct(), 10_000))
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("c")).collect()}
     n_grams = counts.select("gram").distinct().count()

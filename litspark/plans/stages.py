@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from litspark import fixtures
-from litspark.operators import assign, clean, corpus, geo
+from litspark.functions.constants import FINAL_PASSES, K_SWEEP, SWEEP_PASSES, TOP_WORDS_PER_TOPIC
+from litspark.operators import assign, clean, corpus, geo, stats, topics
+from litspark.session import cut_lineage
 
 
 def clean_stage(papers: DataFrame) -> DataFrame:
@@ -51,3 +53,42 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English tokens of every document (whole texts), keyed by paper_id."""
     docs = fixtures.documents(spark, sf_dir).withColumnRenamed("doc_id", "paper_id")
     return corpus.english_tokens(docs, "text", "lang", "tokens").select("paper_id", "tokens")
+
+
+def end_to_end(papers: DataFrame, gazetteer: DataFrame, countries: DataFrame, labels: DataFrame | None = None,
+               ks=K_SWEEP, sweep_passes: int = SWEEP_PASSES, final_passes: int = FINAL_PASSES,
+               seed: int = 42, out_dir: str | None = None) -> dict[str, DataFrame]:
+    """clean → locate → tokenise → k sweep → final model → assign → analytics.
+
+    Files are written only at the edges (``out_dir``): the located papers, the
+    topic words (wide CSV), the coherence curve, the labelled papers and the
+    topic distribution (CSV and JSON).
+    """
+    from litspark.sources import sinks
+    from litspark.sources import topics as topic_io
+
+    # The cleaned, located, tokenised papers feed the sweep, the final fit and
+    # the assignment: written once to the shared checkpoint folder.
+    tokens = cut_lineage(tokens_stage(coordinates_stage(clean_stage(papers), gazetteer)))
+    located = tokens.drop("tokens")
+    scores, _ = topics.sweep_k(tokens.select("paper_id", "tokens"), ks, sweep_passes, seed)
+    best_k = scores.filter("selected").first()["k"]
+    words = topics.lda_topics(tokens.select("paper_id", "tokens"), best_k, TOP_WORDS_PER_TOPIC, final_passes, seed)
+    labelled = assign_stage(tokens, words.select("topic_id", "rank", "term"), labels)
+    out = {
+        "papers_geo": located, "coherence": scores, "topic_words": words, "papers_topic": labelled,
+        "topic_distribution": stats.topic_distribution(labelled),
+        "country_density": geo.country_density(labelled, countries),
+        "kpis": stats.kpis(labelled), "papers_by_year": stats.papers_by_year(labelled),
+        "top_institutions": stats.top_institutions(labelled),
+        "dominant_topic_by_latitude": stats.dominant_topic_by_latitude(labelled),
+    }
+    if out_dir:
+        sinks.write_csv(located, f"{out_dir}/papers_geo")
+        topic_io.write_topic_words(words.select("topic_id", "rank", "term"), f"{out_dir}/topic_words",
+                                   TOP_WORDS_PER_TOPIC)
+        sinks.write_csv(scores, f"{out_dir}/coherence")
+        sinks.write_csv(labelled.drop("tokens"), f"{out_dir}/papers_topic")
+        sinks.write_csv(out["topic_distribution"], f"{out_dir}/topic_distribution")
+        sinks.write_json(out["topic_distribution"], f"{out_dir}/topic_distribution_json")
+    return out

@@ -1,0 +1,49 @@
+"""End-to-end stages and the streaming ingest."""
+
+import json
+import os
+
+from litspark import fixtures
+from litspark.plans import stages
+from litspark.streaming import ingest
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_end_to_end(spark, tmpdir_path):
+    out = stages.end_to_end(fixtures.papers(spark, SF), fixtures.gazetteer(spark, SF),
+                            fixtures.countries(spark, SF), fixtures.topic_labels(spark),
+                            ks=[2, 4], sweep_passes=2, final_passes=3, out_dir=tmpdir_path)
+    k = out["coherence"].filter("selected").first()["k"]
+    assert out["topic_words"].select("topic_id").distinct().count() == k
+    pt = out["papers_topic"]
+    assert pt.count() == out["papers_geo"].count()
+    assert sum(r["n_papers"] for r in out["topic_distribution"].collect()) == pt.count()
+    for sub in ["papers_geo", "topic_words", "coherence", "papers_topic", "topic_distribution_json"]:
+        assert os.path.isdir(os.path.join(tmpdir_path, sub))
+
+
+def page(items):
+    return json.dumps({"message": {"items": items, "next-cursor": "c"}})
+
+
+def item(title, aff, year, abstract):
+    return {"title": [title], "author": [{"affiliation": [{"name": aff}]}],
+            "published": {"date-parts": [[year, 1]]}, "abstract": abstract}
+
+
+def test_streaming_ingest_is_incremental(spark, tmpdir_path):
+    land, table, ckpt = (os.path.join(tmpdir_path, d) for d in ("land", "table", "ckpt"))
+    os.makedirs(land)
+    with open(f"{land}/p1.json", "w") as fh:
+        fh.write(page([item("A &amp; B", "Uni", 2021, "Abstract: text\nhere"), item("Old", "Uni", 2018, "x"),
+                       item("C", "Independent", 2022, "y")]))
+    q = ingest.start_ingest(spark, land, table, checkpoint_location=ckpt)
+    q.awaitTermination()
+    rows = spark.read.parquet(table).collect()
+    assert [(r["title"], r["abstract"]) for r in rows] == [("A & B", ": text here")]
+    with open(f"{land}/p2.json", "w") as fh:
+        fh.write(page([item("D", "Inst", 2023, "z")]))
+    q = ingest.start_ingest(spark, land, table, checkpoint_location=ckpt)
+    q.awaitTermination()
+    assert sorted(r["title"] for r in spark.read.parquet(table).collect()) == ["A & B", "D"]
