@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litspark import fixtures
-from litspark.functions.constants import COHERENCE_WINDOW, FINAL_PASSES, K_SWEEP, SWEEP_PASSES
+from litspark.functions.constants import COHERENCE_EPSILON, COHERENCE_WINDOW, FINAL_PASSES, K_SWEEP, SWEEP_PASSES
 from litspark.operators import coherence, lang, topics
 from litspark.plans import sqlparts as S
 from litspark.plans import stages
@@ -16,7 +16,7 @@ LDA_K = 4
 LDA_SEED = 42
 _S1 = COHERENCE_WINDOW - 1
 
-_COOC_SQL = S.with_base(
+_COOC_CTES = (
     f", docs AS (SELECT paper_id, tokens, len(tokens) AS L, "
     f"CASE WHEN len(tokens) = 0 THEN 0 ELSE greatest(1, len(tokens) - {_S1}) END AS n FROM dtok), "
     f"occ AS (SELECT * FROM (SELECT paper_id, n, unnest(generate_series(0, L - 1)) AS pos, "
@@ -25,10 +25,26 @@ _COOC_SQL = S.with_base(
     f"unnest(generate_series(greatest(0, pos - {_S1}), least(pos, n - 1))) AS w FROM occ)), "
     f"single AS (SELECT word AS word_a, word AS word_b, count(*) AS n_windows FROM win GROUP BY 1, 2), "
     f"pairs AS (SELECT a.word AS word_a, b.word AS word_b, count(*) AS n_windows FROM win a JOIN win b "
-    f"ON a.paper_id = b.paper_id AND a.w = b.w AND a.word < b.word GROUP BY 1, 2) "
-    f"SELECT word_a, word_b, CAST(n_windows AS BIGINT) AS n_windows, "
-    f"CAST((SELECT sum(n) FROM docs) AS BIGINT) AS total_windows "
-    f"FROM (SELECT * FROM single UNION ALL SELECT * FROM pairs)")
+    f"ON a.paper_id = b.paper_id AND a.w = b.w AND a.word < b.word GROUP BY 1, 2) ")
+
+_COOC_SQL = S.with_base(
+    _COOC_CTES + "SELECT word_a, word_b, CAST(n_windows AS BIGINT) AS n_windows, "
+    "CAST((SELECT sum(n) FROM docs) AS BIGINT) AS total_windows "
+    "FROM (SELECT * FROM single UNION ALL SELECT * FROM pairs)")
+
+_CIJ = "coalesce(CASE WHEN g.wi = g.wj THEN si.n_windows ELSE p.n_windows END, 0)"
+_COHERENCE_SQL = S.with_base(
+    _COOC_CTES
+    + ", nt AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM docs), "
+    "grid AS (SELECT a.topic_id, a.term AS wi, b.term AS wj FROM tw a JOIN tw b ON a.topic_id = b.topic_id), "
+    f"m AS (SELECT g.topic_id, g.wi, g.wj, ln(({_CIJ} / nt.n + {COHERENCE_EPSILON}) / "
+    f"((si.n_windows / nt.n) * (sj.n_windows / nt.n))) / (-ln({_CIJ} / nt.n + {COHERENCE_EPSILON})) AS m "
+    "FROM grid g JOIN nt ON true LEFT JOIN single si ON si.word_a = g.wi LEFT JOIN single sj ON sj.word_a = g.wj "
+    "LEFT JOIN pairs p ON p.word_a = least(g.wi, g.wj) AND p.word_b = greatest(g.wi, g.wj)), "
+    "vw AS (SELECT topic_id, wj, sum(m) AS vw FROM m GROUP BY 1, 2), "
+    "pw AS (SELECT m.topic_id, m.wi, sum(m.m * vw.vw) AS dot, sqrt(sum(m.m * m.m)) AS nm, "
+    "sqrt(sum(vw.vw * vw.vw)) AS nv FROM m JOIN vw USING (topic_id, wj) GROUP BY 1, 2) "
+    "SELECT topic_id, avg(dot / (nm * nv)) AS coherence FROM pw GROUP BY 1")
 
 
 @register("window_cooccurrence", _COOC_SQL)
@@ -36,7 +52,7 @@ def q_window_cooccurrence(spark, sf_dir):
     return coherence.window_cooccurrence(stages.document_tokens(spark, sf_dir), FIXED_WORDS)
 
 
-@register("coherence_cv", None)
+@register("coherence_cv", _COHERENCE_SQL)
 def q_coherence_cv(spark, sf_dir):
     toks = stages.document_tokens(spark, sf_dir)
     tw = fixtures.topic_words(spark)

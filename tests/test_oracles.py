@@ -17,7 +17,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_model():
     rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only <= {"lda_topics", "coherence_cv", "select_k"}
+    assert rows_only <= {"lda_topics", "select_k"}
     assert set(ORACLES) <= set(QUERIES)
 
 
