@@ -41,6 +41,13 @@ def bag_of_words(df: DataFrame, tokens_col: str = "tokens", id_col: str = "paper
               .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def vectorizer_tokens(text_col: str = "processed", stopwords: list[str] | None = None):
+    """Word tokens (≥ 2 word characters, lower-cased) without stop words."""
+    words = STOPWORDS_V2 if stopwords is None else stopwords
+    toks = T.word_tokens(text_col)
+    return F.filter(toks, lambda t: ~t.isin(*words)) if words else toks
+
+
 def vocab_df_bounds(df: DataFrame, text_col: str = "processed", id_col: str = "paper_id",
                     min_df: int = 2, max_df: float = 0.95,
                     stopwords: list[str] | None = None) -> DataFrame:
@@ -49,10 +56,8 @@ def vocab_df_bounds(df: DataFrame, text_col: str = "processed", id_col: str = "p
     ``min_df`` is an absolute count, ``max_df`` a share of all input documents
     (empty ones included).
     """
-    words = STOPWORDS_V2 if stopwords is None else stopwords
     n_docs = scalar(df.agg(F.count(F.lit(1))))
-    toks = F.filter(T.word_tokens(text_col), lambda t: ~t.isin(*words)) if words else T.word_tokens(text_col)
-    pairs = df.select(id_col, F.explode(F.array_distinct(toks)).alias("term"))
+    pairs = df.select(id_col, F.explode(F.array_distinct(vectorizer_tokens(text_col, stopwords))).alias("term"))
     dfreq = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"))
     return dfreq.filter((F.col("doc_freq") >= min_df) & (F.col("doc_freq") <= F.lit(max_df * n_docs)))
 

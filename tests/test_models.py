@@ -128,3 +128,19 @@ def test_language_detection(spark):
     got = {r[0]: r[1] for r in lang.detect_language(probe, prof).collect()}
     assert got[10] == "en" and got[11] == "fr" and got[12] == "de"
     assert got[13] == "de"   # no trigrams → every score 0 → alphabetically first
+
+
+def test_bounded_vocabulary_matches_sql_operator(spark):
+    from litspark import fixtures
+    from litspark.operators import corpus
+    docs = fixtures.documents(spark, "/root/testdata/sf0.001").withColumnRenamed("doc_id", "paper_id")
+    v1 = corpus.processed_text(corpus.tokenize_v1(docs, "text"))
+    expected = {r[0] for r in corpus.vocab_df_bounds(v1, "processed", "paper_id").collect()}
+    toks = v1.select("paper_id", corpus.vectorizer_tokens("processed").alias("tokens"))
+    c = topics.Corpus(toks, min_df=2.0, max_df=0.95, checkpoint=False)
+    try:
+        assert set(c.vocabulary) == expected
+        words = topics.lda_topics(toks, 5, n=3, passes=2, seed=42, min_df=2.0, max_df=0.95, checkpoint=False)
+        assert words.select("topic_id").distinct().count() == 5
+    finally:
+        c.release()
