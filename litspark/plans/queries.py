@@ -221,7 +221,7 @@ def q_topic_label_lookup(spark, sf_dir):
 def q_clean_labels(spark, sf_dir):
     assigned = stages.papers_topic(spark, sf_dir).select("paper_id", "topic_id")
     raw = fixtures.topic_labels(spark).withColumnRenamed("label", "raw_label")
-    return (assigned.join(F.broadcast(raw), "topic_id", "left")
+    return (assigned.join(raw, "topic_id", "left")
                     .select("paper_id", "raw_label", T.remove_quotes("raw_label").alias("label")))
 
 

@@ -21,19 +21,29 @@ def topic_words_to_long(wide: DataFrame, id_col: str = "topic_id") -> DataFrame:
                         F.col("rank").cast("int").alias("rank"), "term"))
 
 
+def _row_position(df: DataFrame) -> DataFrame:
+    """0-based position of each row within its source file (read order).
+
+    ``monotonically_increasing_id`` before any shuffle follows the file's row
+    order; the ranking is per file, so no global single-partition window.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy("_file").orderBy("_o")
+    return (df.withColumn("_file", F.col("_metadata.file_path"))
+              .withColumn("_o", F.monotonically_increasing_id())
+              .withColumn("topic_id", (F.row_number().over(w) - 1).cast("int"))
+              .drop("_file", "_o"))
+
+
 def read_topic_words(spark: SparkSession, path: str) -> DataFrame:
     """Read a topic-word CSV: header row of rank numbers, one row per topic.
 
     A ``topic_id`` column is used when present; otherwise the topic id is the
-    row's position in the file, taken from the file offset order of a single
-    file (``monotonically_increasing_id`` before any shuffle is ordered by
-    partition then row), so small one-file tables only.
+    row's position in its file.
     """
     raw = spark.read.option("header", True).csv(path)
     if "topic_id" not in raw.columns:
-        from pyspark.sql import Window
-        raw = raw.withColumn("_o", F.monotonically_increasing_id())
-        raw = raw.withColumn("topic_id", (F.row_number().over(Window.orderBy("_o")) - 1).cast("int")).drop("_o")
+        raw = _row_position(raw)
     return topic_words_to_long(raw)
 
 
@@ -46,7 +56,5 @@ def read_topic_labels(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if "topic_id" in raw.columns:
         return raw.select(F.col("topic_id").cast("int"), F.col(raw.columns[1]).alias("label"))
-    from pyspark.sql import Window
-    raw = raw.withColumn("_o", F.monotonically_increasing_id())
-    return raw.select((F.row_number().over(Window.orderBy("_o")) - 1).cast("int").alias("topic_id"),
-                      F.col(raw.columns[0]).alias("label"))
+    first = raw.columns[0]
+    return _row_position(raw).select("topic_id", F.col(first).alias("label"))
