@@ -78,12 +78,18 @@ def split_words(c: ColumnOrName) -> Column:
     return F.filter(F.split(_col(c), _UNI_WS_RUN), lambda t: F.length(t) > 0)
 
 
-def tokenize(c: ColumnOrName, stopwords: list[str] | None = None) -> Column:
+def tokenize(c: ColumnOrName, stopwords: list[str] | None = None, strip_stopwords: bool = False) -> Column:
     """lower → delete ASCII punctuation → split → drop stop words.
 
-    Duplicates and order are kept. Null input gives an empty array.
+    Duplicates and order are kept. Null input gives an empty array. Punctuation
+    is deleted before the stop-word test, so by default a listed word with an
+    apostrophe ("aren't") never matches; ``strip_stopwords=True`` deletes the
+    punctuation from the list as well ("arent" is then removed).
     """
     words = STOPWORDS_V2 if stopwords is None else stopwords
+    if strip_stopwords:
+        table = str.maketrans("", "", PUNCTUATION)
+        words = list(dict.fromkeys(w.translate(table) for w in words if w.translate(table)))
     base = F.translate(F.lower(_col(c)), PUNCTUATION, "")
     parts = F.split(base, _UNI_WS_RUN)
     if words:

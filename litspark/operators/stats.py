@@ -28,14 +28,17 @@ def search(df: DataFrame, query: str, cols=("assigned_topic", "title")) -> DataF
     return df.filter(reduce(lambda a, b: a | b, hits))
 
 
-def country_pattern(names: list[str]) -> str:
-    return "(?iu)" + "|".join(names)
+def country_pattern(names: list[str], word_boundary: bool = False) -> str:
+    alternation = "|".join(names)
+    return f"(?iu)\\b(?:{alternation})\\b" if word_boundary else "(?iu)" + alternation
 
 
 def in_region(df: DataFrame, countries, col: str = "affiliation",
-              max_inline: int = DEFAULT_INLINE_ROWS) -> DataFrame:
+              max_inline: int = DEFAULT_INLINE_ROWS, word_boundary: bool = False) -> DataFrame:
     """Keep rows whose ``col`` matches the alternation of the country names
-    (case-insensitive, names as written); null → dropped.
+    (case-insensitive, names as written); null → dropped. By default a name
+    matches inside a longer word ("UK" in "Ukraine"); ``word_boundary=True``
+    requires whole words.
 
     ``countries`` is a region name of the built-in dictionary, ``"All"``, a list
     of names, or a one-column DataFrame of names (size-checked).
@@ -48,7 +51,7 @@ def in_region(df: DataFrame, countries, col: str = "affiliation",
         countries = [r[0] for r in require_bounded(countries, max_inline)]
     if not countries:
         return df.filter(F.lit(False))
-    return df.filter(F.coalesce(F.col(col).rlike(country_pattern(countries)), F.lit(False)))
+    return df.filter(F.coalesce(F.col(col).rlike(country_pattern(countries, word_boundary)), F.lit(False)))
 
 
 def kpis(df: DataFrame) -> DataFrame:
@@ -128,5 +131,6 @@ def top_terms_per_group(df: DataFrame, group_col: str, term_col: str, weight_col
     shuffle, so a group holding most rows still ships only n rows per task.
     """
     w = Window.partitionBy(group_col).orderBy(F.desc(weight_col), F.asc(term_col))
-    return (df.withColumn("rank", F.row_number().over(w) - 1)
-              .filter(F.col("rank") < n))
+    return (df.withColumn("_rn", F.row_number().over(w))
+              .filter(F.col("_rn") <= n)
+              .withColumn("rank", F.col("_rn") - 1).drop("_rn"))

@@ -130,3 +130,16 @@ def test_top_terms_per_group_tiebreak(spark):
            stats.top_terms_per_group(df, "g", "term", "n", 5).orderBy("rank").collect()]
     expect = sorted(rows, key=lambda r: (-r[2], r[1]))[:5]
     assert [t for t, _ in got] == [r[1] for r in expect]
+
+
+def test_region_word_boundary_option(spark):
+    df = spark.createDataFrame([(1, "Kyiv Univ, Ukraine"), (2, "Oxford, UK")], "id int, affiliation string")
+    assert [r[0] for r in stats.in_region(df, ["UK"], word_boundary=True).collect()] == [2]
+
+
+def test_assign_unmatched_null_option(spark):
+    tw = spark.createDataFrame([(0, 0, "a"), (1, 0, "b")], "topic_id int, rank int, term string")
+    df = spark.createDataFrame([(1, ["b"]), (2, ["z"]), (3, [])], "paper_id int, tokens array<string>")
+    first = {r[0]: r[1] for r in assign.assign_topic(df, tw).select("paper_id", "topic_id").collect()}
+    null = {r[0]: r[1] for r in assign.assign_topic(df, tw, unmatched="null").select("paper_id", "topic_id").collect()}
+    assert first == {1: 1, 2: 0, 3: 0} and null == {1: 1, 2: None, 3: None}

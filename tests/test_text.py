@@ -78,3 +78,9 @@ def test_word_tokens_and_last_segment(spark):
     assert one(spark, T.last_segment, "Institute src1,  NATION_3 ") == "NATION_3"
     assert one(spark, T.last_segment, "Independent Researcher") == "Independent Researcher"
     assert one(spark, T.remove_quotes, 'A "quoted" label') == "A quoted label"
+
+
+def test_strip_stopwords_option(spark):
+    s = "Aren't these fine"
+    assert one(spark, lambda c: T.tokenize(c, STOPWORDS_V2), s) == ["arent", "fine"]
+    assert one(spark, lambda c: T.tokenize(c, STOPWORDS_V2, strip_stopwords=True), s) == ["fine"]
