@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litspark.operators.lookup import local_table
+
 TABLES = ["region", "nation", "documents", "pages", "labels", "benchmark"]
 
 PAPERS_SQL = """
@@ -99,11 +101,11 @@ def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_words(spark: SparkSession) -> DataFrame:
     rows = [(t, r, w) for t, words in TOPIC_WORDS.items() for r, w in enumerate(words)]
-    return spark.createDataFrame(rows, "topic_id int, rank int, term string")
+    return local_table(spark, rows, [("topic_id", "int"), ("rank", "int"), ("term", "string")])
 
 
 def topic_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TOPIC_LABELS.items()), "topic_id int, label string")
+    return local_table(spark, list(TOPIC_LABELS.items()), [("topic_id", "int"), ("label", "string")])
 
 
 # ---------------------------------------------------------------------------

@@ -21,7 +21,11 @@ ColumnOrName = Column | str
 # Java regex with UNICODE_CHARACTER_CLASS: \s matches NBSP and the other
 # Unicode spaces, like Python's str.split()/str.strip().
 _UNI_WS_RUN = r"(?U)\s+"
-_UNI_EDGE_WS = r"(?U)^\s+|\s+$"
+# The same set as characters, for the edge trims: \t-\r, space, NEL, NBSP,
+# OGHAM SPACE MARK, U+2000-U+200A, LINE/PARAGRAPH SEPARATOR, NNBSP, MMSP and
+# IDEOGRAPHIC SPACE (the Unicode White_Space property).
+UNICODE_WHITESPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                      + "\u2028\u2029\u202f\u205f\u3000")
 TAG_PATTERN = r"<[^>]*>"
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -47,7 +51,9 @@ def unescape_entities(c: ColumnOrName) -> Column:
 
 
 def unicode_trim(c: ColumnOrName) -> Column:
-    return F.regexp_replace(_col(c), _UNI_EDGE_WS, "")
+    """Strip Unicode whitespace at both ends (Spark's plain ``trim`` strips only
+    spaces). Looks at the edges only, not the whole text like an anchored regex."""
+    return F.trim(_col(c), F.lit(UNICODE_WHITESPACE))
 
 
 def strip_tags(c: ColumnOrName) -> Column:
@@ -61,7 +67,7 @@ def clean_html(c: ColumnOrName) -> Column:
 
 def clean_paragraphs(c: ColumnOrName) -> Column:
     """Delete CR, turn every whitespace run (incl. newlines) into one space, trim."""
-    no_cr = F.regexp_replace(_col(c), "\r", "")
+    no_cr = F.replace(_col(c), F.lit("\r"), F.lit(""))
     return unicode_trim(F.regexp_replace(no_cr, _UNI_WS_RUN, " "))
 
 

@@ -8,7 +8,7 @@ the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_INLINE_ROWS = 10_000
 
@@ -45,3 +45,27 @@ def scalar(df: DataFrame):
 def at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (counted on the executors)."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def local_table(spark: SparkSession, rows: list, columns: list[tuple[str, str]]) -> DataFrame:
+    """Driver-side rows (model- or parameter-sized) as an inline VALUES table.
+
+    The result is a LocalRelation: scanning it runs no job, limits and counts
+    on it are answered on the driver, and Catalyst knows its size, so a join
+    to it is broadcast. (``createDataFrame`` from a list would be an RDD scan
+    with unknown size.) Values are bound as query parameters, never spliced
+    into the SQL text.
+    """
+    ddl = ", ".join(f"`{name}` {dtype}" for name, dtype in columns)
+    if not rows:
+        return spark.createDataFrame([], ddl)
+    args, tuples = {}, []
+    for i, row in enumerate(rows):
+        marks = []
+        for j, value in enumerate(row):
+            args[f"p{i}_{j}"] = value
+            marks.append(f":p{i}_{j}")
+        tuples.append("(" + ", ".join(marks) + ")")
+    aliases = ", ".join(f"c{j}" for j in range(len(columns)))
+    select = ", ".join(f"CAST(c{j} AS {dtype}) AS `{name}`" for j, (name, dtype) in enumerate(columns))
+    return spark.sql(f"SELECT {select} FROM VALUES {', '.join(tuples)} AS v({aliases})", args=args)

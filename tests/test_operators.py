@@ -143,3 +143,13 @@ def test_assign_unmatched_null_option(spark):
     first = {r[0]: r[1] for r in assign.assign_topic(df, tw).select("paper_id", "topic_id").collect()}
     null = {r[0]: r[1] for r in assign.assign_topic(df, tw, unmatched="null").select("paper_id", "topic_id").collect()}
     assert first == {1: 1, 2: 0, 3: 0} and null == {1: 1, 2: None, 3: None}
+
+
+def test_local_table_is_a_local_relation(spark):
+    from litspark.operators.lookup import local_table
+    rows = [(0, 'say "hi"'), (1, "it's"), (2, None)]
+    df = local_table(spark, rows, [("topic_id", "int"), ("label", "string")])
+    assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in df.orderBy("topic_id").collect()] == rows
+    assert df.schema.simpleString() == "struct<topic_id:int,label:string>"
+    assert local_table(spark, [], [("k", "int")]).count() == 0

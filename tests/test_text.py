@@ -84,3 +84,20 @@ def test_strip_stopwords_option(spark):
     s = "Aren't these fine"
     assert one(spark, lambda c: T.tokenize(c, STOPWORDS_V2), s) == ["arent", "fine"]
     assert one(spark, lambda c: T.tokenize(c, STOPWORDS_V2, strip_stopwords=True), s) == ["fine"]
+
+
+def test_unicode_trim_set_is_java_unicode_whitespace(spark):
+    # The edge trim uses an explicit character set; it must be exactly the
+    # set the whitespace-run regex (?U)\s matches, or trim and split disagree.
+    bmp = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+    found = spark.createDataFrame([(bmp,)], "s string").select(
+        F.regexp_extract_all("s", F.lit(r"(?U)(\s)"), 1).alias("w")).first()["w"]
+    assert sorted(found) == sorted(T.UNICODE_WHITESPACE)
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text(alphabet=" \t\n\r\xa0　 \x85abé", max_size=12))
+def test_unicode_trim_matches_anchored_regex(spark, s):
+    got = spark.createDataFrame([(s,)], "v string").select(
+        T.unicode_trim("v").alias("t"), F.regexp_replace("v", r"(?U)^\s+|\s+$", "").alias("r")).first()
+    assert got["t"] == got["r"]
