@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from litspark.operators.lookup import at_most, require_bounded
 
 GRAM = 3
-MAX_BROADCAST_GRAMS = 500_000
+# Broadcast bound for the pivoted profile, in cells (trigrams × (languages + 1)):
+# about 4M doubles ≈ 32 MB, whatever the number of languages.
+MAX_BROADCAST_CELLS = 4_000_000
 
 
 def normalised(c):
@@ -65,7 +67,8 @@ def detect_language(df: DataFrame, profile: LanguageProfile, text_col: str = "te
     """(id, detected language) for every row of ``df`` (rows without trigrams
     score 0 everywhere and get the first language)."""
     grams = df.select(id_col, F.explode_outer(char_grams(F.col(text_col))).alias("gram"))
-    small = at_most(profile.grams, MAX_BROADCAST_GRAMS)
+    max_grams = max(1, MAX_BROADCAST_CELLS // (len(profile.langs) + 1))
+    small = at_most(profile.grams, max_grams)
     side = F.broadcast(profile.grams) if small else profile.grams
     joined = grams.join(side, "gram", "left")
     sums = [F.sum(F.coalesce(F.col(f"lc_{l}"), F.lit(0.0))).alias(f"s_{l}") for l in profile.langs]

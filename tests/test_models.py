@@ -144,3 +144,17 @@ def test_bounded_vocabulary_matches_sql_operator(spark):
         assert words.select("topic_id").distinct().count() == 5
     finally:
         c.release()
+
+
+def test_language_detection_join_path_matches_broadcast(spark, monkeypatch):
+    # Above the broadcast bound the profile is joined, not broadcast: same answers.
+    from litspark import fixtures
+    docs = fixtures.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text", "lang")
+    prof = lang.train_profile(docs)
+    hinted = lang.detect_language(docs, prof)
+    assert "strategy=broadcast" in hinted._jdf.queryExecution().optimizedPlan().toString()
+    small = sorted(map(tuple, hinted.collect()))
+    monkeypatch.setattr(lang, "MAX_BROADCAST_CELLS", len(prof.langs) + 1)  # one trigram at most
+    joined = lang.detect_language(docs, prof)
+    assert "strategy=broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, joined.collect())) == small
