@@ -158,3 +158,21 @@ def test_language_detection_join_path_matches_broadcast(spark, monkeypatch):
     joined = lang.detect_language(docs, prof)
     assert "strategy=broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, joined.collect())) == small
+
+
+def test_lda_partitions_bound_the_statistics_volume():
+    # 8000 partitions × 10 topics × 2^18 terms would sum ~170 GB per iteration.
+    parts = topics.lda_partitions(8000, 10, 1 << 18)
+    assert parts * 10 * (1 << 18) * 8 <= topics.STATS_BUDGET_BYTES < (parts + 1) * 10 * (1 << 18) * 8
+    assert topics.lda_partitions(8, 4, 1000) == 8          # small models keep every partition
+    assert topics.lda_partitions(8, 10, 1 << 18, budget=1) == 1
+
+
+def test_lda_fit_with_coalesced_corpus(spark):
+    c = topics.Corpus(planted_corpus(spark), checkpoint=False)
+    try:
+        model = topics.fit_lda(c, 2, passes=3, seed=7, stats_budget=1)   # forces one partition
+        terms = topics.topic_terms(model, c, 3)
+        assert terms.select("topic_id").distinct().count() == 2
+    finally:
+        c.release()
