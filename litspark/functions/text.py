@@ -20,7 +20,7 @@ ColumnOrName = Column | str
 
 # Java regex with UNICODE_CHARACTER_CLASS: \s matches NBSP and the other
 # Unicode spaces, like Python's str.split()/str.strip().
-_UNI_WS_RUN = r"(?U)\s+"
+WHITESPACE_RUN = r"(?U)\s+"
 # The same set as characters, for the edge trims: \t-\r, space, NEL, NBSP,
 # OGHAM SPACE MARK, U+2000-U+200A, LINE/PARAGRAPH SEPARATOR, NNBSP, MMSP and
 # IDEOGRAPHIC SPACE (the Unicode White_Space property).
@@ -68,7 +68,7 @@ def clean_html(c: ColumnOrName) -> Column:
 def clean_paragraphs(c: ColumnOrName) -> Column:
     """Delete CR, turn every whitespace run (incl. newlines) into one space, trim."""
     no_cr = F.replace(_col(c), F.lit("\r"), F.lit(""))
-    return unicode_trim(F.regexp_replace(no_cr, _UNI_WS_RUN, " "))
+    return unicode_trim(F.regexp_replace(no_cr, WHITESPACE_RUN, " "))
 
 
 def strip_abstract_prefix(c: ColumnOrName) -> Column:
@@ -81,7 +81,7 @@ def strip_abstract_prefix(c: ColumnOrName) -> Column:
 
 def split_words(c: ColumnOrName) -> Column:
     """Whitespace split without empty tokens (Python ``str.split()``)."""
-    return F.filter(F.split(_col(c), _UNI_WS_RUN), lambda t: F.length(t) > 0)
+    return F.filter(F.split(_col(c), WHITESPACE_RUN), lambda t: F.length(t) > 0)
 
 
 def tokenize(c: ColumnOrName, stopwords: list[str] | None = None, strip_stopwords: bool = False) -> Column:
@@ -97,7 +97,7 @@ def tokenize(c: ColumnOrName, stopwords: list[str] | None = None, strip_stopword
         table = str.maketrans("", "", PUNCTUATION)
         words = list(dict.fromkeys(w.translate(table) for w in words if w.translate(table)))
     base = F.translate(F.lower(_col(c)), PUNCTUATION, "")
-    parts = F.split(base, _UNI_WS_RUN)
+    parts = F.split(base, WHITESPACE_RUN)
     if words:
         kept = F.filter(parts, lambda t: (F.length(t) > 0) & ~t.isin(*words))
     else:

@@ -70,7 +70,9 @@ def top_words(df: DataFrame, n: int = 10, ignore=COMMON_WORDS,
     frequent words); ties broken by the word.
     """
     text = F.lower(F.concat_ws(" ", *[F.col(c) for c in cols]))
-    words = df.select(F.explode(T.split_words(text)).alias("word"))
-    counts = (words.filter(~F.col("word").isin(*ignore))
+    # Exploded first, then filtered as rows: the empty-string test stays in
+    # generated code instead of a lambda over every word array.
+    words = df.select(F.explode(F.split(text, T.WHITESPACE_RUN)).alias("word"))
+    counts = (words.filter((F.length("word") > 0) & ~F.col("word").isin(*ignore))
                    .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
     return counts.orderBy(F.desc("freq"), F.asc("word")).limit(n)
