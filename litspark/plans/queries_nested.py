@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from litspark import fixtures
+from litspark.functions.constants import CARD_LIMIT
 from litspark.operators import flatten
 from litspark.plans import sqlparts as S
 from litspark.plans.queries import register
@@ -56,15 +57,26 @@ def _card_field(pattern: str, default: str) -> str:
     return f"coalesce(nullif({raw}, ''), {S.q(default)})"
 
 
-@register("html_cards",
-          "SELECT page_id, card_no, "
-          f"{_card_field(html.ARTICLE_FIELDS['title'], 'No title')} AS Title, "
-          f"{_card_field(html.ARTICLE_FIELDS['abstract'], 'No abstract')} AS Abstract, "
-          f"concat('', {_card_field(html.ARTICLE_FIELDS['url'], 'No URL')}) AS Source, "
-          f"{_card_field(html.ARTICLE_FIELDS['year'], 'No year')} AS Year "
-          "FROM (SELECT page_id, CAST(generate_subscripts(cards, 1) - 1 AS INTEGER) AS card_no, unnest(cards) AS card "
-          f"FROM (SELECT page_id, regexp_extract_all(html, {S.q(html.ARTICLE_CARD)}, 1) AS cards FROM pages)) "
-          "ORDER BY page_id, card_no LIMIT 1000")
+_CARDS_SQL = (
+    "SELECT page_id, card_no, "
+    f"{_card_field(html.ARTICLE_FIELDS['title'], 'No title')} AS Title, "
+    f"{_card_field(html.ARTICLE_FIELDS['abstract'], 'No abstract')} AS Abstract, "
+    f"concat('', {_card_field(html.ARTICLE_FIELDS['url'], 'No URL')}) AS Source, "
+    f"{_card_field(html.ARTICLE_FIELDS['year'], 'No year')} AS Year "
+    "FROM (SELECT page_id, CAST(generate_subscripts(cards, 1) - 1 AS INTEGER) AS card_no, unnest(cards) AS card "
+    f"FROM (SELECT page_id, regexp_extract_all(html, {S.q(html.ARTICLE_CARD)}, 1) AS cards FROM pages))")
+
+
+@register("html_cards", _CARDS_SQL)
 def q_html_cards(spark, sf_dir):
+    """Every card of every landed page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html.extract_cards(pages, limit=None)
+
+
+@register("html_cards_first_n", _CARDS_SQL + f" ORDER BY page_id, card_no LIMIT {CARD_LIMIT}")
+def q_html_cards_first_n(spark, sf_dir):
+    """The result cap of the scraper (stop after N cards, T3): the first N cards in
+    (page, card) order. Every page is still parsed; only the output is capped."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return html.extract_cards(pages)
+    return html.extract_cards(pages, limit=CARD_LIMIT)
