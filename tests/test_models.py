@@ -176,16 +176,3 @@ def test_lda_fit_with_coalesced_corpus(spark):
         assert terms.select("topic_id").distinct().count() == 2
     finally:
         c.release()
-
-
-def test_vocabulary_independent_of_partitioning(spark):
-    from pyspark.ml.feature import CountVectorizer
-    toks = planted_corpus(spark)
-    v1 = topics.vocabulary(toks.repartition(1))
-    v7 = topics.vocabulary(toks.repartition(7, "paper_id"))
-    assert v1 == v7
-    cv = CountVectorizer(inputCol="tokens", outputCol="f").fit(toks)
-    assert set(v1) == set(cv.vocabulary)
-    counts = {r[0]: r[1] for r in toks.selectExpr("explode(tokens) AS t").groupBy("t").count().collect()}
-    assert [(-counts[t], t) for t in v1] == sorted((-counts[t], t) for t in v1)   # tf desc, ties by term
-    assert topics.vocabulary(toks, vocab_size=3) == v1[:3]
