@@ -35,7 +35,7 @@ from litspark.llm import common
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-ALPHA = 0.05
+ALPHA = 0.1
 DELTA = 0.05
 
 SYMBOLS = "#*$%&|<>"
@@ -157,7 +157,8 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta
         tally[row["stratum"]][row["rule"], int(row["good"]), row["level"]] += row["n"]
     cutoffs = {}
     for stratum, counts in tally.items():
-        above = counts[:, :, ::-1].cumsum(axis=2)[:, :, ::-1][:, :, 1:]  # documents above the i-th cutoff
+        # a document at level k is above the k strictest cutoffs, the last k of the grid
+        above = counts[:, :, ::-1].cumsum(axis=2)[:, :, :-1]
         n_bad, n_good = counts[0].sum(axis=1).tolist()
         cutoffs[stratum] = tuple(choose_cutoff(above[r, 1].tolist(), above[r, 0].tolist(), n_good, n_bad, share, level)
                                  for r in range(len(RULES)))
