@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litspark.llm import decontaminate, packing, pii, quality_rules, simhash
+from litspark.llm import (decontaminate, kneser_ney, langid, licenses, packing, pii, preference, quality_rules,
+                          sharding, simhash)
 from litspark.llm.common import documents
 
 #: Key of the registered pseudonym queries; a deployment passes its own secret.
@@ -15,11 +16,33 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_language_id(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op3_pii_pseudonyms(spark, sf_dir):
     out = pii.pseudonymise(documents(spark, sf_dir), PSEUDONYM_KEY, found_col="found")
     return out.select("doc_id", "text", F.size("found").alias("n_found"))
 
 
+def op4_preference_formatting(spark, sf_dir):
+    return preference.format_pairs(preference.stale_reply_pairs(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op6_hash_tree_sharding(spark, sf_dir):
+    tree = sharding.regular(regions=2, racks=2, shards=4)
+    out = sharding.assign(documents(spark, sf_dir), tree, sharding.grow(tree))
+    return out.withColumn("law", F.lit("key"))
+
+
+def op7_kneser_ney_quality(spark, sf_dir):
+    return kneser_ney.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_quality_rules(spark, sf_dir):
     out = quality_rules.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "stratum")
@@ -36,7 +59,12 @@ def op10_best_fit_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
+    "op2_language_id": (op2_language_id, None),
     "op3_pii_pseudonyms": (op3_pii_pseudonyms, None),
+    "op4_preference_formatting": (op4_preference_formatting, preference.ORACLE_SQL),
+    "op5_license_scan": (op5_license_scan, licenses.oracle_sql()),
+    "op6_hash_tree_sharding": (op6_hash_tree_sharding, None),
+    "op7_kneser_ney_quality": (op7_kneser_ney_quality, None),
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_simhash_near_duplicates": (op9_simhash_near_duplicates, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
