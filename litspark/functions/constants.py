@@ -47,9 +47,6 @@ NON_INSTITUTION_AFFILIATIONS: list[str] = [
 # FIXED VALUES — first year that is kept by the recency cut is CUTOFF_YEAR + 1.
 CUTOFF_YEAR = 2019
 
-# FIXED VALUES — "abstract" prefix removed from the start of an abstract.
-ABSTRACT_PREFIX = "abstract"
-
 # FIXED VALUES — words ignored by the word-frequency panel.
 COMMON_WORDS: list[str] = ["the", "and", "of", "in", "to", "a", "for", "on", "with"]
 

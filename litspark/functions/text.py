@@ -79,11 +79,6 @@ def strip_abstract_prefix(c: ColumnOrName) -> Column:
     return F.regexp_replace(_col(c), r"(?U)^[Aa][Bb][Ss][Tt][Rr][Aa][Cc][Tt]\s*", "")
 
 
-def split_words(c: ColumnOrName) -> Column:
-    """Whitespace split without empty tokens (Python ``str.split()``)."""
-    return F.filter(F.split(_col(c), WHITESPACE_RUN), lambda t: F.length(t) > 0)
-
-
 def tokenize(c: ColumnOrName, stopwords: list[str] | None = None, strip_stopwords: bool = False) -> Column:
     """lower → delete ASCII punctuation → split → drop stop words.
 

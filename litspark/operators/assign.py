@@ -2,21 +2,22 @@
 
 Assignment keeps the document side narrow: when the topic-word table is under
 a checked bound its words become literal arrays inside one projection
-(no join, no shuffle of documents). Above the bound the overlap is computed
-with an equi-join on the term and an aggregate, which never brings the table
-to the driver.
+(no join, no shuffle of documents). Above the bound the overlap of each distinct
+token set is computed with an equi-join on the term (adaptive execution splits
+frequent terms) and an aggregate, which never brings the table to the driver.
+Both give the same rows.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.functions import text as T
-from litspark.functions.constants import FALLBACK_LABEL_WORDS, LABEL_PROMPT_PREFIX
-from litspark.operators.lookup import DEFAULT_INLINE_ROWS, at_most, bounded_rows, require_bounded
+from litspark.functions.constants import FALLBACK_LABEL_WORDS, LABEL_PROMPT_PREFIX, TOP_WORDS_PER_TOPIC
+from litspark.operators.lookup import DEFAULT_INLINE_ROWS, at_most, bounded_rows
 
 
 def _topic_sets(rows) -> tuple[list[int], list[list[str]]]:
@@ -47,7 +48,7 @@ def assign_topic(df: DataFrame, topic_words: DataFrame, tokens_col: str = "token
     """
     rows = bounded_rows(topic_words.select("topic_id", "rank", "term"), max_inline)
     if rows is None:
-        return _assign_by_join(df, topic_words, tokens_col, id_col, out_col, unmatched)
+        return _assign_by_join(df, topic_words, tokens_col, out_col, unmatched)
     ids, sets = _topic_sets(rows)
     scored = df.withColumn("_scores", _score_column(F.col(tokens_col), sets))
     scores = F.col("_scores")
@@ -58,23 +59,43 @@ def assign_topic(df: DataFrame, topic_words: DataFrame, tokens_col: str = "token
     return scored.withColumn(out_col, best.cast("int")).drop("_scores")
 
 
-def _assign_by_join(df, topic_words, tokens_col, id_col, out_col, unmatched):
+def _token_key(tokens_col: str):
+    """Digest of the row's set of tokens: overlap depends on nothing else, so rows
+    with null or repeated ids need no key of their own."""
+    return F.sha2(F.array_join(F.array_sort(F.array_distinct(tokens_col)), "\x1f"), 256)
+
+
+def _overlaps_by_join(df: DataFrame, topic_words: DataFrame, tokens_col: str) -> DataFrame:
+    """(_key, _t, _n): shared words of every distinct token set and topic that share any."""
     tw = topic_words.select("term", F.col("topic_id").cast("int").alias("_t")).distinct()
-    pairs = df.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("term"))
-    scores = pairs.join(tw, "term").groupBy(id_col, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    best = scores.groupBy(id_col).agg(F.max(F.struct("_n", (-F.col("_t")).alias("_neg"))).alias("_b"))
-    best = best.select(id_col, (-F.col("_b._neg")).alias("_best"))
-    out = df.join(best, id_col, "left")
+    sets = df.select(_token_key(tokens_col).alias("_key"), F.array_distinct(tokens_col).alias("_set")).dropDuplicates(["_key"])
+    pairs = sets.select("_key", F.explode("_set").alias("term"))
+    return pairs.join(tw, "term").groupBy("_key", "_t").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _assign_by_join(df, topic_words, tokens_col, out_col, unmatched):
+    scores = _overlaps_by_join(df, topic_words, tokens_col)
+    best = scores.groupBy("_key").agg(F.max(F.struct("_n", (-F.col("_t")).alias("_neg"))).alias("_b"))
+    best = best.select("_key", (-F.col("_b._neg")).alias("_best"))
+    out = df.withColumn("_key", _token_key(tokens_col)).join(best, "_key", "left").drop("_key")
     if unmatched == "null":
         return out.withColumnRenamed("_best", out_col)
-    first = tw.agg(F.min("_t")).first()[0]
+    first = topic_words.agg(F.min(F.col("topic_id").cast("int"))).first()[0]
     return out.withColumn(out_col, F.coalesce(F.col("_best"), F.lit(first)).cast("int")).drop("_best")
 
 
 def topic_overlap_scores(df: DataFrame, topic_words: DataFrame, tokens_col: str = "tokens",
                          id_col: str = "paper_id", max_inline: int = DEFAULT_INLINE_ROWS) -> DataFrame:
-    """Overlap score for every (row, topic): k output rows per input row, no join."""
-    ids, sets = _topic_sets(require_bounded(topic_words.select("topic_id", "rank", "term"), max_inline))
+    """Overlap score for every (row, topic): k output rows per input row by
+    definition, zeros included. A word table over the bound is joined on the term;
+    only its topic ids (one number per topic of the model) become literals."""
+    rows = bounded_rows(topic_words.select("topic_id", "rank", "term"), max_inline)
+    if rows is None:
+        ids = [r[0] for r in topic_words.select(F.col("topic_id").cast("int")).distinct().orderBy("topic_id").collect()]
+        every = df.select(id_col, _token_key(tokens_col).alias("_key"), F.explode(F.lit(ids).cast("array<int>")).alias("_t"))
+        return every.join(_overlaps_by_join(df, topic_words, tokens_col), ["_key", "_t"], "left").select(
+            id_col, F.col("_t").alias("topic_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("score"))
+    ids, sets = _topic_sets(rows)
     scores = _score_column(F.col(tokens_col), sets)
     ids_arr = F.array(*[F.lit(i) for i in ids])
     return (df.select(id_col, F.posexplode(scores).alias("_pos", "score"))
@@ -82,13 +103,19 @@ def topic_overlap_scores(df: DataFrame, topic_words: DataFrame, tokens_col: str
                       F.col("score").cast("long").alias("score")))
 
 
+def _first_words(topic_words: DataFrame, n: int) -> DataFrame:
+    """(topic_id, _w): the first ``n`` words of each topic in rank order; never more are gathered."""
+    order = Window.partitionBy("topic_id").orderBy("rank", "term")
+    top = topic_words.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n)
+    return top.groupBy("topic_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", "term"))),
+                                                   lambda x: x["term"]).alias("_w"))
+
+
 def topic_names(topic_words: DataFrame, labels: DataFrame | None = None,
                 fallback_words: int = FALLBACK_LABEL_WORDS) -> DataFrame:
     """(topic_id, label): supplied label with '"' removed, else the top words joined."""
-    ranked = topic_words.groupBy("topic_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_w"))
-    fallback = F.array_join(F.slice(F.transform("_w", lambda x: x["term"]), 1, fallback_words), ", ")
-    names = ranked.select(F.col("topic_id").cast("int").alias("topic_id"), fallback.alias("_fallback"))
+    names = _first_words(topic_words, fallback_words).select(
+        F.col("topic_id").cast("int").alias("topic_id"), F.array_join("_w", ", ").alias("_fallback"))
     if labels is None:
         return names.select("topic_id", F.col("_fallback").alias("label"))
     clean = labels.select(F.col("topic_id").cast("int").alias("topic_id"),
@@ -106,12 +133,11 @@ def attach_labels(df: DataFrame, names: DataFrame, topic_col: str = "topic_id",
     return df.join(side, topic_col, "left")
 
 
-def label_prompts(topic_words: DataFrame) -> DataFrame:
-    """Prompt text per topic from its words in rank order, comma-joined."""
-    ranked = topic_words.groupBy("topic_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_w"))
-    words = F.array_join(F.transform("_w", lambda x: x["term"]), ", ")
-    return ranked.select("topic_id", F.concat(F.lit(LABEL_PROMPT_PREFIX), words, F.lit(".")).alias("prompt"))
+def label_prompts(topic_words: DataFrame, n: int = TOP_WORDS_PER_TOPIC) -> DataFrame:
+    """Prompt text per topic from its first ``n`` words in rank order, comma-joined."""
+    words = F.array_join("_w", ", ")
+    return _first_words(topic_words, n).select(
+        "topic_id", F.concat(F.lit(LABEL_PROMPT_PREFIX), words, F.lit(".")).alias("prompt"))
 
 
 def one_hot(df: DataFrame, topic_ids: list[int], topic_col: str = "topic_id",

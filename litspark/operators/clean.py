@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.functions import text as T
@@ -33,16 +33,25 @@ def strip_prefix(df: DataFrame, col: str = "abstract") -> DataFrame:
     return df.withColumn(col, T.strip_abstract_prefix(col))
 
 
+def row_digest(cols) -> Column:
+    """32-byte digest of several columns; null, empty and shifted values differ."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")),
+                        F.lit("-")) for c in cols]
+    return F.unhex(F.sha2(F.concat_ws(",", *parts), 256))
+
+
 def dedup_rows(df: DataFrame, keys=SOURCE_COLUMNS, id_col: str = "paper_id") -> DataFrame:
     """Distinct rows over ``keys``; the survivor is the one with the smallest id.
 
-    Hash aggregation with a map-side partial step, so a group of copies that
-    holds a large share of the rows is collapsed before the shuffle.
+    Rows are ranked by a 32-byte digest of the keys, so sorting never compares
+    texts. Spark keeps the first row of each digest in every task before the
+    shuffle, so a group of copies that holds a large share of the rows reaches
+    the final task as one row per input task.
     """
     rest = [c for c in df.columns if c not in keys and c != id_col]
-    survivor = F.min(F.struct(F.col(id_col), *[F.col(c) for c in rest])).alias("_s")
-    out = df.groupBy(*keys).agg(survivor)
-    return out.select(F.col(f"_s.{id_col}").alias(id_col), *keys, *[F.col(f"_s.{c}").alias(c) for c in rest])
+    order = Window.partitionBy("_digest").orderBy(id_col, *rest)
+    ranked = df.withColumn("_digest", row_digest(keys)).withColumn("_rn", F.row_number().over(order))
+    return ranked.filter(F.col("_rn") == 1).select(id_col, *keys, *rest)
 
 
 def drop_affiliations(df: DataFrame, names=NON_INSTITUTION_AFFILIATIONS, col: str = "affiliation") -> DataFrame:

@@ -13,8 +13,7 @@ def empty_tokens():
     return F.array().cast("array<string>")
 
 
-def tokenize_v1(df: DataFrame, text_col: str = "abstract", id_col: str = "paper_id",
-                out_col: str = "tokens") -> DataFrame:
+def tokenize_v1(df: DataFrame, text_col: str = "abstract", out_col: str = "tokens") -> DataFrame:
     """lower → de-punctuate → split → version-1 stop words, every language."""
     return df.withColumn(out_col, T.tokenize(text_col, STOPWORDS_V1))
 

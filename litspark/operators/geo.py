@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from litspark.functions import text as T
 from litspark.functions.constants import (DENSITY_HIGH, DENSITY_LOW, DENSITY_LOW_BELOW, DENSITY_MEDIUM,
                                           DENSITY_MEDIUM_BELOW, DENSITY_NONE)
-from litspark.operators.lookup import DEFAULT_INLINE_ROWS, bounded_rows, require_bounded, scalar
+from litspark.operators.lookup import DEFAULT_INLINE_ROWS, bounded_rows, scalar
 from litspark.operators.stats import papers_per_affiliation
+from litspark.session import stage_table
 
 
 def _gazetteer_keyed(gazetteer: DataFrame) -> DataFrame:
@@ -42,12 +43,6 @@ def with_coordinates(df: DataFrame, gazetteer: DataFrame, col: str = "affiliatio
     return keyed.join(_gazetteer_keyed(gazetteer), "_place").drop("_place")
 
 
-def _match_names_inline(text: Column, names: list[str]) -> Column:
-    arr = F.array(*[F.lit(n) for n in names])
-    low = F.lower(text)
-    return F.filter(arr, lambda n: low.contains(F.lower(n)))
-
-
 def _substrings(low: Column, length: int) -> Column:
     """Every substring of ``low`` with ``length`` characters ([] when shorter),
     in one lookahead regex pass."""
@@ -56,26 +51,28 @@ def _substrings(low: Column, length: int) -> Column:
 
 def contains_matches(df: DataFrame, text_col: str, names: DataFrame,
                      max_inline: int = DEFAULT_INLINE_ROWS) -> DataFrame:
-    """Rows of ``df`` paired with every name that is a case-insensitive substring
-    of ``text_col`` (one output row per match, column ``name``).
+    """Rows of ``df`` paired with every name whose lower-case form is a substring of
+    the lower-cased ``text_col`` (one output row per match, column ``name``). An
+    empty name matches every non-null text; null names and texts match nothing.
 
-    Under the bound the names are a literal array and matching is a narrow
-    projection. Above it every substring of each distinct name length is
-    generated and equi-joined to the names, which is exact and never collects
-    the name table.
+    Up to ``max_inline`` names are a literal array and matching is a narrow
+    projection. More names are equi-joined to the substrings of each name length
+    (lengths of the lower-cased names); the rows are the same, whichever way.
     """
     distinct_names = names.select(F.col(names.columns[0]).alias("name")).filter(
         F.col("name").isNotNull()).distinct()
+    low = F.lower(F.col(text_col))
     rows = bounded_rows(distinct_names, max_inline)
     if rows is not None:
-        matched = _match_names_inline(F.col(text_col), [r[0] for r in rows])
-        return df.withColumn("name", F.explode(matched))
-    lengths = [r[0] for r in require_bounded(
-        distinct_names.select(F.length("name").alias("l")).distinct(), 100_000)]
-    low = F.lower(F.col(text_col))
-    subs = [_substrings(low, L) for L in lengths if L > 0]
-    exploded = df.withColumn("_sub", F.explode(F.array_distinct(F.flatten(F.array(*subs)))))
+        if not rows:
+            return df.withColumn("name", F.lit("")).limit(0)
+        pairs = F.array(*[F.struct(F.lit(r[0]).alias("name"), F.lower(F.lit(r[0])).alias("low")) for r in rows])
+        return df.withColumn("_hit", F.explode(F.filter(pairs, lambda n: low.contains(n["low"])))).withColumn(
+            "name", F.col("_hit.name")).drop("_hit")
     keyed = distinct_names.select("name", F.lower("name").alias("_sub"))
+    lengths = [r[0] for r in keyed.select(F.length("_sub").alias("l")).distinct().orderBy("l").collect()]
+    subs = [F.when(low.isNotNull(), F.array(F.lit(""))) if n == 0 else _substrings(low, n) for n in lengths]
+    exploded = df.withColumn("_sub", F.explode(F.array_distinct(F.flatten(F.array(*subs)))))
     return exploded.join(keyed, "_sub").drop("_sub")
 
 
@@ -108,7 +105,7 @@ def country_density(df: DataFrame, countries: DataFrame, country_col: str = "cou
     """Country counts with their density class. The reference maximum is the
     largest per-affiliation count (1 when there is none), so a country sum can
     exceed it; the class saturates at High."""
-    per_aff = papers_per_affiliation(df).persist()  # one row per affiliation; read twice
+    per_aff = stage_table(papers_per_affiliation(df), "per-affiliation")  # one row per affiliation; read twice
     max_count = scalar(per_aff.agg(F.max("n_papers"))) or 1
     counts = _country_counts(per_aff, countries, country_col, max_inline)
     return counts.withColumn("density_class", density_class(F.col("paper_count"), F.lit(max_count)))

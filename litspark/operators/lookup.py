@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-DEFAULT_INLINE_ROWS = 10_000
-
-
-class LookupTooLarge(Exception):
-    """Raised when a lookup table is above the inline bound."""
+#: Rows a lookup may have to become literals of a plan; literals are compiled
+#: into generated code, so the bound is small.
+DEFAULT_INLINE_ROWS = 500
+#: Values an inline VALUES table may have; each is one query parameter.
+MAX_VALUES = 2_000
 
 
 def bounded_rows(df: DataFrame, max_rows: int = DEFAULT_INLINE_ROWS) -> list | None:
@@ -29,13 +29,6 @@ def bounded_rows(df: DataFrame, max_rows: int = DEFAULT_INLINE_ROWS) -> list | N
     return rows
 
 
-def require_bounded(df: DataFrame, max_rows: int = DEFAULT_INLINE_ROWS) -> list:
-    rows = bounded_rows(df, max_rows)
-    if rows is None:
-        raise LookupTooLarge(f"lookup table has more than {max_rows} rows")
-    return rows
-
-
 def scalar(df: DataFrame):
     """First column of a one-row aggregate."""
     row = df.first()
@@ -54,11 +47,11 @@ def local_table(spark: SparkSession, rows: list, columns: list[tuple[str, str]])
     on it are answered on the driver, and Catalyst knows its size, so a join
     to it is broadcast. (``createDataFrame`` from a list would be an RDD scan
     with unknown size.) Values are bound as query parameters, never spliced
-    into the SQL text.
+    into the SQL text; beyond ``MAX_VALUES`` values the rows are parallelised.
     """
     ddl = ", ".join(f"`{name}` {dtype}" for name, dtype in columns)
-    if not rows:
-        return spark.createDataFrame([], ddl)
+    if not rows or len(rows) * len(columns) > MAX_VALUES:
+        return spark.createDataFrame([tuple(r) for r in rows], ddl)
     args, tuples = {}, []
     for i, row in enumerate(rows):
         marks = []

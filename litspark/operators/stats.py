@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.functions.constants import ALL_REGIONS, REGION_COUNTRIES
-from litspark.operators.lookup import DEFAULT_INLINE_ROWS, require_bounded
+from litspark.operators.lookup import DEFAULT_INLINE_ROWS
 
 
 def search(df: DataFrame, query: str, cols=("assigned_topic", "title")) -> DataFrame:
@@ -41,24 +41,33 @@ def in_region(df: DataFrame, countries, col: str = "affiliation",
     requires whole words.
 
     ``countries`` is a region name of the built-in dictionary, ``"All"``, a list
-    of names, or a one-column DataFrame of names (size-checked).
+    of names, or a one-column DataFrame of names of any size (literal text,
+    matched in lower case against the distinct values of ``col``).
     """
     if isinstance(countries, str):
         if countries == ALL_REGIONS:
             return df
         countries = REGION_COUNTRIES[countries]
     if isinstance(countries, DataFrame):
-        countries = [r[0] for r in require_bounded(countries, max_inline)]
+        return _in_named_region(df, countries, col, max_inline, word_boundary)
     if not countries:
         return df.filter(F.lit(False))
     return df.filter(F.coalesce(F.col(col).rlike(country_pattern(countries, word_boundary)), F.lit(False)))
 
 
+def _in_named_region(df: DataFrame, names: DataFrame, col: str, max_inline: int, word_boundary: bool) -> DataFrame:
+    from litspark.operators.geo import contains_matches
+    matched = contains_matches(df.select(col).filter(F.col(col).isNotNull()).distinct(), col, names, max_inline)
+    if word_boundary:
+        matched = matched.filter(F.regexp_like(F.col(col), F.concat(F.lit("(?iu)\\b\\Q"), F.col("name"), F.lit("\\E\\b"))))
+    return df.join(matched.select(col).distinct(), col, "left_semi").select(*df.columns)
+
+
 def kpis(df: DataFrame) -> DataFrame:
     """Total papers, distinct affiliations (null counts as one value), year range."""
     return df.agg(
         F.count(F.lit(1)).alias("total_papers"),
-        (F.count_distinct("affiliation") + F.max(F.col("affiliation").isNull().cast("int"))).cast("long")
+        (F.count_distinct("affiliation") + F.coalesce(F.max(F.col("affiliation").isNull().cast("int")), F.lit(0))).cast("long")
         .alias("n_affiliations"),
         F.concat_ws(" - ", F.min("year").cast("string"), F.max("year").cast("string")).alias("year_range"),
     )

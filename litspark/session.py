@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,9 @@ DEFAULT_CONF = {
 }
 
 
+_staged: list[str] = []
+
+
 def get_spark(master: str | None = None, app_name: str = "litspark",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE and Arrow on and the UI off."""
@@ -86,6 +90,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def stage_table(df, name: str):
+    """``df`` written as Parquet below the shared checkpoint folder and read back:
+    computed once, lineage cut, readable by every executor."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _staged.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables ``stage_table`` wrote; call it when no result that reads them is left."""
+    while _staged:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)

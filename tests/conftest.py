@@ -11,10 +11,11 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from litspark.session import checkpoint_dir, get_spark
+    from litspark.session import checkpoint_dir, drop_staged, get_spark
     s = get_spark("local[4]", "litspark-tests", shuffle_partitions=4)
     checkpoint_dir(s)  # unset in tests → a fresh local folder
     yield s
+    drop_staged(s)
 
 
 @pytest.fixture()

@@ -61,6 +61,40 @@ def test_country_counts_inline_equals_join_path(spark):
     assert dens == {"NATION_1": "High", "NATION_12": "High", "NATION_3": "No Papers"}
 
 
+def test_name_matching_is_the_same_inline_and_joined(spark):
+    texts = spark.createDataFrame([("Uni, İzmir",), ("izmir",), ("Straße",), ("",), (None,), ("NATION_1",)], "affiliation string")
+    names = spark.createDataFrame([("İzmir",), ("",), ("straße",), ("nation_1",), (None,), ("a" * 300,)], "country string")
+    inline = sorted(map(str, geo.contains_matches(texts, "affiliation", names).collect()))
+    joined = sorted(map(str, geo.contains_matches(texts, "affiliation", names, max_inline=0).collect()))
+    assert inline == joined and len(inline) == 5 + 3
+    assert geo.contains_matches(texts, "affiliation", names.limit(0)).count() == 0
+
+
+def test_region_table_of_any_size(spark):
+    df = spark.createDataFrame([(1, "Kyiv Univ, Ukraine"), (2, "Oxford, UK"), (2, "Oxford, UK"), (3, None), (4, "Paris (F)")],
+                               "id int, affiliation string")
+    names = spark.createDataFrame([("uk",), ("(f)",), (None,)], "country string")
+    for bound in (500, 0):
+        assert sorted(r[0] for r in stats.in_region(df, names, max_inline=bound).collect()) == [1, 2, 2, 4]
+        assert sorted(r[0] for r in stats.in_region(df, names.limit(1), max_inline=bound, word_boundary=True).collect()) == [2, 2]
+
+
+def test_assignment_with_null_and_repeated_ids(spark):
+    tw = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "d")], "topic_id int, rank int, term string")
+    df = spark.createDataFrame([(1, ["a"]), (1, ["c", "d"]), (None, ["c"]), (None, ["z"]), (2, [])], "paper_id int, tokens array<string>")
+    for bound in (500, 0):
+        got = sorted((str(r["tokens"]), r["topic_id"]) for r in assign.assign_topic(df, tw, max_inline=bound).collect())
+        assert got == sorted([("['a']", 0), ("['c', 'd']", 1), ("['c']", 1), ("['z']", 0), ("[]", 0)])
+    inline = sorted(map(str, assign.topic_overlap_scores(df, tw).collect()))
+    assert inline == sorted(map(str, assign.topic_overlap_scores(df, tw, max_inline=0).collect())) and len(inline) == 10
+
+
+def test_dedup_tells_null_empty_and_shifted_values_apart(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (3, "-", "x"), (4, "ab", "c"), (5, "a", "bc"), (6, "ab", "c"), (6, "ab", "c"), (7, None, "x")]
+    out = clean.dedup_rows(spark.createDataFrame(rows, "paper_id int, title string, abstract string"), ["title", "abstract"])
+    assert sorted(r["paper_id"] for r in out.collect()) == [1, 2, 3, 4, 5]
+
+
 def test_density_class_boundaries(spark):
     df = spark.createDataFrame([(0,), (32,), (33,), (65,), (66,), (150,), (None,)], "v int")
     got = [r[0] for r in df.select(geo.density_class(F.col("v"), F.lit(100))).collect()]
@@ -72,6 +106,7 @@ def test_kpis_counts_null_affiliation_once(spark):
                                "affiliation string, year int")
     r = stats.kpis(df).first()
     assert (r["total_papers"], r["n_affiliations"], r["year_range"]) == (4, 3, "2020 - 2023")
+    assert stats.kpis(df.limit(0)).first()["n_affiliations"] == 0
 
 
 def test_geocode_is_equality_not_substring(spark):
