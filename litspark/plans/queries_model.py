@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litspark import fixtures
 from litspark.functions.constants import COHERENCE_EPSILON, COHERENCE_WINDOW, FINAL_PASSES, K_SWEEP, SWEEP_PASSES
 from litspark.operators import coherence, lang, topics
+from litspark.operators.lookup import local_table
 from litspark.plans import sqlparts as S
 from litspark.plans import stages
 from litspark.plans.queries import register
@@ -60,6 +62,55 @@ def q_coherence_cv(spark, sf_dir):
     return coherence.coherence_cv(tw, counts, ("topic_id",))
 
 
+@register("lda_vocabulary", S.with_base(
+    ", v AS (SELECT term, count(*) AS tf FROM (SELECT unnest(tokens) AS term FROM dtok) GROUP BY 1) "
+    "SELECT term, tf, row_number() OVER (ORDER BY tf DESC, term) - 1 AS position FROM v"))
+def q_lda_vocabulary(spark, sf_dir):
+    """The terms a topic model is fitted on, in its order: all of them, ties by term."""
+    corpus = topics.Corpus(stages.document_tokens(spark, sf_dir))
+    try:
+        places = local_table(spark, list(enumerate(corpus.vocabulary)), [("position", "long"), ("term", "string")])
+        return places.join(topics.vocabulary(corpus.tokens), "term").select("term", "tf", "position")
+    finally:
+        corpus.release()
+
+
+@register("lda_invariants", (
+    f"SELECT CAST(i AS INTEGER) AS topic_id, 10 AS n_terms, true AS ranks_complete, true AS weights_fall, "
+    f"true AS weights_sum_to_one FROM generate_series(0, {LDA_K - 1}) AS t(i)"))
+def q_lda_invariants(spark, sf_dir):
+    """What holds for any fitted model: per topic, ten ranked terms with falling
+    weights, and weights over the whole vocabulary that sum to 1."""
+    corpus = topics.Corpus(stages.document_tokens(spark, sf_dir))
+    try:
+        model = topics.fit_lda(corpus, LDA_K, FINAL_PASSES, LDA_SEED)
+        every = topics.topic_terms(model, corpus, len(corpus.vocabulary))
+    finally:
+        corpus.release()
+    before = F.lag("weight").over(Window.partitionBy("topic_id").orderBy("rank"))
+    rows = every.withColumn("falls", F.coalesce(F.col("weight") <= before, F.lit(True)))
+    top = F.col("rank") < 10
+    return rows.groupBy("topic_id").agg(
+        F.count_if(top).cast("int").alias("n_terms"),
+        (F.sum(F.when(top, F.col("rank"))) == 45).alias("ranks_complete"), F.bool_and("falls").alias("weights_fall"),
+        (F.abs(F.sum("weight") - 1) < 1e-6).alias("weights_sum_to_one"))
+
+
+@register("select_k_invariants", (
+    f"SELECT CAST(unnest([{', '.join(map(str, K_SWEEP))}]) AS INTEGER) AS k, true AS scored, 1 AS n_selected, "
+    f"true AS first_maximum"))
+def q_select_k_invariants(spark, sf_dir):
+    """Every k scored, exactly one selected, and that the first of the best."""
+    table, _ = topics.sweep_k(stages.document_tokens(spark, sf_dir), K_SWEEP, SWEEP_PASSES, LDA_SEED)
+    every = Window.partitionBy(F.lit(1))  # one row per k
+    best = F.max("coherence").over(every)
+    first = F.min(F.when(F.col("coherence") == F.col("best"), F.col("k"))).over(every)
+    return (table.withColumn("best", best).withColumn("first", first)
+            .select("k", F.col("coherence").isNotNull().alias("scored"),
+                    F.count_if("selected").over(every).cast("int").alias("n_selected"),
+                    (F.col("selected") == (F.col("k") == F.col("first"))).alias("first_maximum")))
+
+
 @register("lda_topics", None)
 def q_lda_topics(spark, sf_dir):
     return topics.lda_topics(stages.document_tokens(spark, sf_dir), LDA_K, 10, FINAL_PASSES, LDA_SEED)
@@ -76,19 +127,30 @@ _LANG_SQL = (
     "FROM documents), "
     "grams AS (SELECT doc_id, lang, substr(t, i, 3) AS g FROM (SELECT doc_id, lang, t, "
     "unnest(generate_series(1, length(t) - 2)) AS i FROM norm)), "
-    "model AS (SELECT lang, g, count(*) AS c FROM grams WHERE lang IS NOT NULL GROUP BY 1, 2), "
+    "model AS (SELECT lang, g, count(*) AS c FROM grams WHERE lang IS NOT NULL AND doc_id % 5 <> 0 GROUP BY 1, 2), "
     "v AS (SELECT count(DISTINCT g) AS v FROM model), "
     "tot AS (SELECT lang, sum(c) AS c FROM model GROUP BY 1), "
     "part AS (SELECT d.doc_id, m.lang, sum(ln(m.c + 1)) AS s FROM grams d JOIN model m ON d.g = m.g GROUP BY 1, 2), "
     "tcount AS (SELECT n.doc_id, count(g.g) AS tn FROM norm n LEFT JOIN grams g ON g.doc_id = n.doc_id GROUP BY 1), "
     "scores AS (SELECT t.doc_id, tot.lang, coalesce(p.s, 0) - t.tn * ln(tot.c + (SELECT v FROM v)) AS score "
-    "FROM tcount t JOIN tot ON true LEFT JOIN part p ON p.doc_id = t.doc_id AND p.lang = tot.lang) "
-    "SELECT doc_id, lang AS detected_lang FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY doc_id ORDER BY score DESC, lang ASC) AS rn FROM scores) WHERE rn = 1")
+    "FROM tcount t JOIN tot ON true LEFT JOIN part p ON p.doc_id = t.doc_id AND p.lang = tot.lang), "
+    "found AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM part) THEN lang END AS detected_lang "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang ASC) AS rn FROM scores) WHERE rn = 1) ")
 
 
-@register("detect_language", _LANG_SQL)
+@register("detect_language", _LANG_SQL + "SELECT doc_id, detected_lang FROM found")
 def q_detect_language(spark, sf_dir):
-    docs = fixtures.documents(spark, sf_dir).select("doc_id", "text", "lang")
-    profile = lang.train_profile(docs, "text", "lang")
-    return lang.detect_language(docs, profile, "text", "doc_id")
+    """All documents scored; learned from those with ``doc_id % 5 <> 0``."""
+    docs = fixtures.documents(spark, sf_dir).select("doc_id", "text")
+    return lang.detect_language(docs, stages.language_profile(spark, sf_dir), "text", "doc_id")
+
+
+@register("language_accuracy", _LANG_SQL + (
+    "SELECT d.lang, count(*) AS n_docs, count(*) FILTER (WHERE d.lang = f.detected_lang) AS n_right "
+    "FROM documents d JOIN found f USING (doc_id) WHERE d.doc_id % 5 = 0 AND d.lang IS NOT NULL GROUP BY 1"))
+def q_language_accuracy(spark, sf_dir):
+    """Per language, held-out documents and how many were identified rightly."""
+    docs = fixtures.documents(spark, sf_dir).filter("doc_id % 5 = 0 AND lang IS NOT NULL")
+    found = lang.detect_language(docs.select("doc_id", "text"), stages.language_profile(spark, sf_dir), "text", "doc_id")
+    return docs.select("doc_id", "lang").join(found, "doc_id").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("lang") == F.col("detected_lang")).alias("n_right"))

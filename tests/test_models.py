@@ -127,7 +127,7 @@ def test_language_detection(spark):
                                    (12, "der hund und die katze"), (13, "")], "doc_id int, text string")
     got = {r[0]: r[1] for r in lang.detect_language(probe, prof).collect()}
     assert got[10] == "en" and got[11] == "fr" and got[12] == "de"
-    assert got[13] == "de"   # no trigrams → every score 0 → alphabetically first
+    assert got[13] is None   # no trigram seen in training: not identified
 
 
 def test_bounded_vocabulary_matches_sql_operator(spark):
@@ -137,10 +137,10 @@ def test_bounded_vocabulary_matches_sql_operator(spark):
     v1 = corpus.processed_text(corpus.tokenize_v1(docs, "text"))
     expected = {r[0] for r in corpus.vocab_df_bounds(v1, "processed", "paper_id").collect()}
     toks = v1.select("paper_id", corpus.vectorizer_tokens("processed").alias("tokens"))
-    c = topics.Corpus(toks, min_df=2.0, max_df=0.95, checkpoint=False)
+    c = topics.Corpus(toks, min_df=2.0, max_df=0.95)
     try:
         assert set(c.vocabulary) == expected
-        words = topics.lda_topics(toks, 5, n=3, passes=2, seed=42, min_df=2.0, max_df=0.95, checkpoint=False)
+        words = topics.lda_topics(toks, 5, n=3, passes=2, seed=42, min_df=2.0, max_df=0.95)
         assert words.select("topic_id").distinct().count() == 5
     finally:
         c.release()
@@ -160,19 +160,60 @@ def test_language_detection_join_path_matches_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, joined.collect())) == small
 
 
-def test_lda_partitions_bound_the_statistics_volume():
-    # 8000 partitions × 10 topics × 2^18 terms would sum ~170 GB per iteration.
-    parts = topics.lda_partitions(8000, 10, 1 << 18)
-    assert parts * 10 * (1 << 18) * 8 <= topics.STATS_BUDGET_BYTES < (parts + 1) * 10 * (1 << 18) * 8
-    assert topics.lda_partitions(8, 4, 1000) == 8          # small models keep every partition
-    assert topics.lda_partitions(8, 10, 1 << 18, budget=1) == 1
+def test_seeded_fit_does_not_depend_on_input_partitions(spark):
+    # every term has the same frequency: only the tie-break by term orders the vocabulary
+    rng = random.Random(5)
+    docs = []
+    for i in range(60):
+        words = [f"{'ab'[i % 2]}{j}" for j in range(10)] * 3
+        rng.shuffle(words)
+        docs.append((i, words))
+    base = spark.createDataFrame(docs, "paper_id int, tokens array<string>")
+    got = []
+    for n in (1, 3, 7):
+        c = topics.Corpus(base.repartition(n), tokens_per_partition=500)
+        try:
+            assert c.partitions == 4
+            terms = topics.topic_terms(topics.fit_lda(c, 2, passes=3, seed=42), c, 8).orderBy("topic_id", "rank").collect()
+            got.append([(r["topic_id"], r["term"], round(r["weight"], 9)) for r in terms])
+        finally:
+            c.release()
+    assert got[0] == got[1] == got[2]
+
+
+def test_vocabulary_has_every_term(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["a", "c"]), (3, [])], "paper_id int, tokens array<string>")
+    assert {(r["term"], r["tf"]) for r in topics.vocabulary(df).collect()} == {("a", 2), ("b", 2), ("c", 1)}
+    assert {r["term"] for r in topics.vocabulary(df, min_df=2).collect()} == {"a"}
+    assert {r["term"] for r in topics.vocabulary(df, max_df=0.5).collect()} == {"b", "c"}
+    c = topics.Corpus(df)
+    assert c.vocabulary == ["a", "b", "c"]
+    c.release()
+
+
+def test_unseen_topic_word_counts_as_zero(spark):
+    docs = spark.createDataFrame([(i, ["a", "b", "x"]) for i in range(3)] + [(9, ["x"])], "paper_id int, tokens array<string>")
+    tw = spark.createDataFrame([(0, 0, "a"), (0, 1, "zz"), (1, 0, "a"), (1, 1, "b")], "topic_id int, rank int, term string")
+    counts = coherence.window_cooccurrence(docs, tw.select("term"), WIN, pairs=coherence.topic_pairs(tw))
+    got = {r[0]: r[1] for r in coherence.coherence_cv(tw, counts).collect()}
+    assert abs(got[0] - 0.5) < 1e-9 and abs(got[1] - 1.0) < 1e-9   # zz: the zero vector, similarity 0
 
 
-def test_lda_fit_with_coalesced_corpus(spark):
-    c = topics.Corpus(planted_corpus(spark), checkpoint=False)
-    try:
-        model = topics.fit_lda(c, 2, passes=3, seed=7, stats_budget=1)   # forces one partition
-        terms = topics.topic_terms(model, c, 3)
-        assert terms.select("topic_id").distinct().count() == 2
-    finally:
-        c.release()
+def test_only_asked_pairs_are_counted(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "c"])], "paper_id int, tokens array<string>")
+    pairs = spark.createDataFrame([("a", "c")], "word_a string, word_b string")
+    rows = coherence.window_cooccurrence(docs, ["a", "b", "c"], WIN, pairs=pairs).collect()
+    assert {(r[0], r[1]) for r in rows} == {("a", "a"), ("b", "b"), ("c", "c"), ("a", "c")}
+
+
+def test_unidentified_text_is_not_english(spark):
+    from litspark.operators import corpus
+    df = spark.createDataFrame([(1, "en", "the cat sat"), (2, "fr", "le chat assis")], "doc_id int, lang string, text string")
+    prof = lang.train_profile(df)
+    probe = spark.createDataFrame([(1, ""), (2, None), (3, "12"), (4, "the cat")], "paper_id int, text string")
+    got = lang.with_language(probe, prof, "text")
+    assert {r["paper_id"]: r["lang"] for r in got.collect()} == {1: None, 2: None, 3: None, 4: "en"}
+    tokens = {r["paper_id"]: r["tokens"] for r in corpus.english_tokens(got, "text").collect()}
+    assert tokens == {1: [], 2: [], 3: [], 4: ["cat"]}
+    empty = lang.train_profile(df.limit(0))
+    assert {r[1] for r in lang.detect_language(probe, empty, "text", "paper_id").collect()} == {None}
