@@ -153,6 +153,16 @@ def works_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("page_no", F.to_json(F.struct(message.alias("message"))).alias("body"))
 
 
+def listing_pages(spark: SparkSession, sf_dir: str, pages_per_listing: int) -> DataFrame:
+    """(page_id, html): ``pages_per_listing`` landed pages after one another, so each
+    listing holds as many cards."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    listing = F.floor(F.col("page_id") / pages_per_listing).cast("long").alias("page_id")
+    parts = pages.select(listing, F.struct(F.col("page_id").alias("at"), "html").alias("part"))
+    return parts.groupBy("page_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list("part")), lambda p: p["html"]), "").alias("html"))
+
+
 def records_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(filename, body): one nested abstract record per document.
 

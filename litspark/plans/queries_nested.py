@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from litspark import fixtures
-from litspark.functions.constants import CARD_LIMIT
+from litspark.functions.constants import RELEVANCE_KEYWORDS
 from litspark.operators import flatten
 from litspark.plans import sqlparts as S
 from litspark.plans.queries import register
@@ -11,8 +11,7 @@ from litspark.sources import files, html
 
 # Keyword lists for the relevance filter: the default topic keywords (none of
 # which occur in the synthetic prose) plus two phrases that do.
-KEYWORDS = ["carbon emission", "co2 emissions", "greenhouse gases", "carbon footprint",
-            "climate change", "decarbonization", "carbon neutrality", "license", "password"]
+KEYWORDS = RELEVANCE_KEYWORDS + ["license", "password"]
 
 _AFF_TRIM = S.trim_ws("concat(' Institute ', source, ' ')")
 
@@ -52,31 +51,61 @@ def q_keyword_relevance(spark, sf_dir):
     return flatten.relevant(recs, "abstracts", KEYWORDS)
 
 
-def _card_field(pattern: str, default: str) -> str:
-    raw = S.trim_ws(S.unescape4(f"regexp_replace(regexp_extract(card, {S.q(pattern)}, 1), '<[^>]*>', '', 'g')"))
-    return f"coalesce(nullif({raw}, ''), {S.q(default)})"
+BASE_URL = "https://pages.example.org"
+LISTING_PAGES = 10  # pages joined to one listing
+FIRST_CARDS = 100   # cap of html_cards_first_n, below the number of cards
 
 
-_CARDS_SQL = (
-    "SELECT page_id, card_no, "
-    f"{_card_field(html.ARTICLE_FIELDS['title'], 'No title')} AS Title, "
-    f"{_card_field(html.ARTICLE_FIELDS['abstract'], 'No abstract')} AS Abstract, "
-    f"concat('', {_card_field(html.ARTICLE_FIELDS['url'], 'No URL')}) AS Source, "
-    f"{_card_field(html.ARTICLE_FIELDS['year'], 'No year')} AS Year "
-    "FROM (SELECT page_id, CAST(generate_subscripts(cards, 1) - 1 AS INTEGER) AS card_no, unnest(cards) AS card "
-    f"FROM (SELECT page_id, regexp_extract_all(html, {S.q(html.ARTICLE_CARD)}, 1) AS cards FROM pages))")
+def _element(x: str, tag: str) -> str:
+    """Content of the first element ``tag`` (no attributes lost, none needed) of an SQL text."""
+    rest = f"substr({x}, strpos({x}, '<{tag}'))"
+    return (f"CASE WHEN strpos({x}, '<{tag}') > 0 THEN split_part(substr({rest}, strpos({rest}, '>') + 1), "
+            f"'</{tag}>', 1) END")
 
 
-@register("html_cards", _CARDS_SQL)
+def _visible(x: str) -> str:
+    return S.trim_ws(S.unescape4(f"regexp_replace({x}, '<[^>]*>', '', 'g')"))
+
+
+_PARAGRAPHS = ("list_filter(list_transform(string_split_regex(card, '<p>|<p [^>]*>')[2:], lambda s: "
+               + _visible("string_split_regex(s, '</?(p|div|h[1-6]|ul|ol|table|section|article|footer|header)[ >/]')[1]")
+               + "), lambda t: t <> '')[1]")
+
+
+def _cards_sql(pages: str, base_url: str) -> str:
+    """Cards cut with plain string functions: the article's text up to its end tag."""
+    link = "split_part(split_part(card, 'href=\"', 2), '\"', 1)"
+    return (
+        f"SELECT page_id, card_no, coalesce(nullif({_visible(_element('card', 'h1'))}, ''), 'No title') AS Title, "
+        f"coalesce({_PARAGRAPHS}, 'No abstract') AS Abstract, "
+        f"concat('{base_url}', coalesce(nullif({_visible(link)}, ''), 'No URL')) AS Source, "
+        f"coalesce(nullif({_visible(_element('card', 'time'))}, ''), 'No year') AS Year FROM ("
+        "SELECT page_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS card_no, "
+        "unnest(list_transform(parts, lambda p: split_part(substr(p, strpos(p, '>') + 1), '</article>', 1))) AS card FROM ("
+        "SELECT page_id, list_filter(string_split(html, '<article')[2:], lambda p: contains(p, '</article>')) AS parts "
+        f"FROM {pages}))")
+
+
+_LISTINGS_SQL = (f"(SELECT page_id // {LISTING_PAGES} AS page_id, string_agg(html, '' ORDER BY page_id) AS html "
+                 "FROM pages GROUP BY 1)")
+
+
+@register("html_cards", _cards_sql("pages", BASE_URL))
 def q_html_cards(spark, sf_dir):
     """Every card of every landed page."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return html.extract_cards(pages, limit=None)
+    return html.extract_cards(pages, base_url=BASE_URL)
+
+
+@register("html_listing_cards", _cards_sql(_LISTINGS_SQL, BASE_URL))
+def q_html_listing_cards(spark, sf_dir):
+    """Listing pages with several cards each."""
+    return html.extract_cards(fixtures.listing_pages(spark, sf_dir, LISTING_PAGES), base_url=BASE_URL)
 
 
-@register("html_cards_first_n", _CARDS_SQL + f" ORDER BY page_id, card_no LIMIT {CARD_LIMIT}")
+@register("html_cards_first_n", _cards_sql("pages", "") + f" ORDER BY page_id, card_no LIMIT {FIRST_CARDS}")
 def q_html_cards_first_n(spark, sf_dir):
-    """The result cap of the scraper (stop after N cards, T3): the first N cards in
+    """The result cap of the scraper (stop after N cards): the first N cards in
     (page, card) order. Every page is still parsed; only the output is capped."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return html.extract_cards(pages, limit=CARD_LIMIT)
+    return html.extract_cards(pages, limit=FIRST_CARDS)

@@ -4,11 +4,5 @@ from __future__ import annotations
 
 
 def all_queries():
-    from litspark.plans import queries  # noqa: F401  (registers on import)
-    for mod in ("litspark.plans.queries_nested", "litspark.plans.queries_model"):
-        try:
-            __import__(mod)
-        except ModuleNotFoundError as exc:
-            if exc.name != mod:
-                raise
+    from litspark.plans import queries, queries_files, queries_model, queries_nested  # noqa: F401  (register on import)
     return dict(queries.REGISTRY)

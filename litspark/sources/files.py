@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,26 +23,33 @@ def read_papers_csv(spark: SparkSession, path: str, schema: T.StructType = PAPER
                     bad_lines: str = "error") -> DataFrame:
     """CSV with a header; quoted fields may hold newlines and doubled quotes.
 
-    ``bad_lines="skip"`` drops rows with more fields than the schema and keeps
-    rows with fewer (missing fields null), as a tolerant pandas reader does.
-    ``bad_lines="error"`` fails on any malformed row.
+    A line with fewer fields than the schema is kept (missing fields null), as a
+    pandas reader does. A line with more fields fails the read (``bad_lines="error"``,
+    the default) or is left out (``bad_lines="skip"``).
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("quote", '"'))
-    if bad_lines == "error":
-        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
     wide = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    raw = (reader.schema(wide).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+           .schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
     # Re-parse a malformed line with one more column than the schema: if that
-    # column is filled, the line had too many fields and is skipped.
+    # column is filled, the line had too many fields.
     probe = ", ".join(f"_c{i} string" for i in range(len(schema.fields) + 1))
     extra = F.from_csv(F.col(CORRUPT), probe, {"escape": '"', "nullValue": _NO_NULL_TOKEN})[
         f"_c{len(schema.fields)}"]
     too_long = F.col(CORRUPT).isNotNull() & extra.isNotNull()
+    if bad_lines == "error":
+        message = F.concat(F.lit("a line has too many fields: "), F.substring(F.col(CORRUPT), 1, 200))
+        keep = F.when(too_long, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+        return raw.filter(keep).drop(CORRUPT)
     return raw.filter(~too_long).drop(CORRUPT)
 
 
+def paper_key(df: DataFrame, cols=("title", "affiliation", "year", "abstract"), out_col: str = "paper_id") -> DataFrame:
+    """``df`` with a stable key: the hex digest of the source columns (null-safe). Equal
+    rows share a key, so it is unique once duplicates are removed."""
+    from litspark.operators.clean import row_digest
+    return df.withColumn(out_col, F.lower(F.hex(row_digest(cols))))
+
+
 # ---------------------------------------------------------------------------
 # Nested abstract records (one JSON object per file, tree of folders)
 # ---------------------------------------------------------------------------
@@ -62,6 +71,18 @@ RECORD_SCHEMA = T.StructType([
 ])
 
 
+def relative_name(spark: SparkSession, uri: Column, base: str) -> Column:
+    """The decoded part of a file's URI below ``base``, whatever scheme the two are written with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    qualified = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    prefix = re.sub("^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", qualified.getScheme() + ":" + (
+        f"//{qualified.getAuthority()}" if qualified.getAuthority() else "") + qualified.getPath()).rstrip("/") + "/"
+    # only %-escapes are decoded: a plus sign in a name stays one
+    plain = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    plain = F.regexp_replace(plain, "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/")
+    return F.when(plain.startswith(prefix), F.substring(plain, len(prefix) + 1, 1 << 30)).otherwise(plain)
+
+
 def read_json_tree(spark: SparkSession, base: str, schema: T.StructType = RECORD_SCHEMA
                    ) -> tuple[DataFrame, DataFrame]:
     """All ``*.json`` files below ``base`` (any depth), one object per file.
@@ -73,10 +94,7 @@ def read_json_tree(spark: SparkSession, base: str, schema: T.StructType = RECORD
     raw = (spark.read.schema(with_corrupt).option("multiLine", True)
            .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(base))
-    prefix = base.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")
-    rel = F.when(rel.startswith(prefix), F.substring(rel, len(prefix) + 1, 1 << 30)).otherwise(rel)
-    raw = raw.withColumn("filename", rel)
+    raw = raw.withColumn("filename", relative_name(spark, F.col("_metadata.file_path"), base))
     bad = F.col(CORRUPT).isNotNull()
     # Spark refuses scans that need only the corrupt-record column, so the
     # rejects also carry a (null) flag read from the first data field.
@@ -93,6 +111,19 @@ def records_from_strings(df: DataFrame, body_col: str = "body", schema: T.Struct
         *[c for c in df.columns if c != body_col], "_r.*")
 
 
+def split_records(df: DataFrame, body_col: str = "body", schema: T.StructType = RECORD_SCHEMA
+                  ) -> tuple[DataFrame, DataFrame]:
+    """Record bodies in a string column → (records, rejects), as ``read_json_tree`` splits
+    files: rejects are the bodies that are no JSON object."""
+    with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
+    keys = [c for c in df.columns if c != body_col]
+    parsed = df.select(*keys, F.from_json(F.col(body_col), with_corrupt, {"columnNameOfCorruptRecord": CORRUPT}).alias("_r"),
+                       F.col(body_col).alias("_raw"))
+    bad = F.col("_r").isNull() | F.col(f"_r.{CORRUPT}").isNotNull()
+    good = parsed.filter(~bad).select(*keys, *[F.col("_r")[f.name].alias(f.name) for f in schema.fields])
+    return good, parsed.filter(bad).select(*keys, F.col("_raw").alias("raw_text"))
+
+
 # ---------------------------------------------------------------------------
 # Works-API pages (landed JSON, one page per file or per row)
 # ---------------------------------------------------------------------------

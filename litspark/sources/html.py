@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litspark.functions import text as T
-from litspark.functions.constants import CARD_DEFAULTS, CARD_LIMIT
+from litspark.functions.constants import CARD_DEFAULTS
 
 # Card and field patterns for the article layout of the landed pages.
 ARTICLE_CARD = r"(?s)<article[^>]*>(.*?)</article>"
@@ -15,7 +15,8 @@ ARTICLE_FIELDS = {
     "url": r"<a [^>]*href=\"([^\"]*)\"",
     "source": r"(?s)<cite[^>]*>(.*?)</cite>",
     "year": r"(?s)<time[^>]*>(.*?)</time>",
-    "abstract": r"<p>([^<]+)</p>",
+    # a paragraph runs to its closing tag, the next block element or the card's end
+    "abstract": r"(?s)<p\b[^>]*>(.*?)(?=</?p\b|</?(?:div|h[1-6]|ul|ol|table|section|article|footer|header)\b|$)",
 }
 
 
@@ -26,20 +27,24 @@ def _text(c):
 
 def extract_cards(pages: DataFrame, html_col: str = "html", id_col: str = "page_id",
                   card_pattern: str = ARTICLE_CARD, fields: dict[str, str] | None = None,
-                  base_url: str = "", limit: int | None = CARD_LIMIT) -> DataFrame:
+                  base_url: str = "", limit: int | None = None) -> DataFrame:
     """One row per card: (page id, card number, Title, Abstract, Source, Year).
 
-    Each field is the first match of its pattern inside the card, converted to
-    text; a missing or empty field takes its default ("No title", …). Source is
-    ``base_url`` + the card link. With ``limit`` the first N cards in
-    (page id, card number) order are kept.
+    Each field is the first match of its pattern inside the card that has visible
+    text, converted to text; a missing or empty field takes its default ("No
+    title", …). Source is ``base_url`` + the card link. All cards are returned
+    unless ``limit`` asks for the first N in (page id, card number) order.
     """
     pats = fields or ARTICLE_FIELDS
     cards = pages.select(id_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(card_pattern), 1))
                          .alias("card_no", "_card"))
 
     def field(name):
-        raw = _text(F.regexp_extract(F.col("_card"), pats[name], 1)) if name in pats else F.lit("")
+        if name not in pats:
+            return F.lit(CARD_DEFAULTS[name])
+        found = F.filter(F.regexp_extract_all(F.col("_card"), F.lit(pats[name]), 1),
+                         lambda m: F.length(T.unicode_trim(T.strip_tags(m))) > 0)
+        raw = _text(F.try_element_at(found, F.lit(1)))
         return F.coalesce(F.nullif(raw, F.lit("")), F.lit(CARD_DEFAULTS[name]))
 
     out = cards.select(

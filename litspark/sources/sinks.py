@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,18 +20,40 @@ def _flatten_arrays(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _write_nonempty(spark: SparkSession, write, read, path: str, mode: str) -> bool:
+    """``write`` once beside ``path`` and move it there if it holds a row. The frame
+    is evaluated a single time: whether it was empty is seen from what was written."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    target, draft = jpath(path), jpath(f"{path.rstrip('/')}.draft-{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode not in ("overwrite", "error", "errorifexists", "ignore"):
+        raise ValueError(f"mode {mode!r}: a folder is written whole")
+    if mode != "overwrite" and fs.exists(target):
+        if mode == "ignore":
+            return False
+        raise FileExistsError(path)
+    write(draft.toString())
+    if read(draft.toString()).isEmpty():
+        fs.delete(draft, True)
+        return False
+    fs.delete(target, True)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(draft, target):
+        raise OSError(f"cannot move the written files to {path}")
+    return True
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
     """Write with a header, UTF-8, no index. Returns False (and writes nothing)
     when the frame is empty."""
-    if df.isEmpty():
-        return False
-    (_flatten_arrays(df).write.mode(mode).option("header", True).option("escape", '"')
-     .option("encoding", "UTF-8").csv(path))
-    return True
+    spark = df.sparkSession
+    return _write_nonempty(
+        spark, lambda p: _flatten_arrays(df).write.option("header", True).option("escape", '"').option("encoding", "UTF-8")
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(p),
+        lambda p: spark.read.option("header", True).schema("first string").option("enforceSchema", True).csv(p), path, mode)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
-    if df.isEmpty():
-        return False
-    df.write.mode(mode).json(path)
-    return True
+    """JSON lines; returns False (and writes nothing) when the frame is empty."""
+    spark = df.sparkSession
+    return _write_nonempty(spark, lambda p: df.write.json(p), spark.read.text, path, mode)

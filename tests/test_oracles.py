@@ -4,10 +4,11 @@ import pytest
 
 import __spark_entry__ as E
 from litspark.plans.oracle_check import compare, duckdb_connection
+from litspark.plans.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+QUERIES = {name: fn for name, (fn, _) in all_queries().items()}
+ORACLES = {name: sql for name, (_, sql) in all_queries().items() if sql}
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,7 @@ def con():
 def test_every_query_has_oracle_or_is_model():
     rows_only = set(QUERIES) - set(ORACLES)
     assert rows_only <= {"lda_topics", "select_k"}
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
     assert set(ORACLES) <= set(QUERIES)
 
 

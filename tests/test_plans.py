@@ -2,10 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as E
+from litspark.plans.registry import all_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = E.queries()
+QUERIES = {name: fn for name, (fn, _) in all_queries().items()}
+#: Queries whose plan needs fitted models first.
+FITS = {"lda_topics", "select_k", "lda_vocabulary", "lda_invariants", "select_k_invariants"}
 
 
 def plan(spark, name):
@@ -28,12 +30,18 @@ def test_aggregates_are_partial_before_exchange(spark):
     assert "HashAggregate" in p and "partial_count" in p
 
 
+def test_dedup_sorts_digests_and_limits_before_the_shuffle(spark):
+    p = plan(spark, "dedup_rows")
+    assert "SortAggregate" not in p and p.count("WindowGroupLimit") == 2
+    assert all("_digest" in line for line in p.splitlines() if " Sort [" in line)
+
+
 def test_scan_prunes_columns(spark):
     p = plan(spark, "clean_html")
     assert "ReadSchema: struct<page_id:bigint,html:string>" in p
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"lda_topics", "select_k"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - FITS))
 def test_no_cartesian_or_nested_loop_join(spark, name):
     p = plan(spark, name)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

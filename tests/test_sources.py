@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from litspark.sources import files, sinks
@@ -32,6 +34,23 @@ def test_csv_multiline_escape_and_bad_lines(spark, tmpdir_path):
     assert rows["ok"]["year"] == 2019
 
 
+def test_default_csv_read_keeps_short_lines_and_fails_on_long_ones(spark, tmpdir_path):
+    write(f"{tmpdir_path}/s/p.csv", "title,affiliation,year,abstract\nshort,only\nok,Inst,2019,plain\n")
+    rows = {r["title"]: r for r in files.read_papers_csv(spark, f"{tmpdir_path}/s").collect()}
+    assert rows["short"]["abstract"] is None and rows["ok"]["abstract"] == "plain"
+    write(f"{tmpdir_path}/l/p.csv", CSV)
+    with pytest.raises(Exception, match="too many fields"):
+        files.read_papers_csv(spark, f"{tmpdir_path}/l").collect()
+
+
+@pytest.mark.parametrize("scheme", ["", "file://", "file:"])
+def test_filenames_are_decoded_and_relative(spark, tmpdir_path, scheme):
+    for name in ("sub dir/a b.json", "plus+sign/c%20d.json"):
+        write(f"{tmpdir_path}/{name}", json.dumps(record({})))
+    good, bad = files.read_json_tree(spark, scheme + tmpdir_path)
+    assert {r["filename"] for r in good.collect()} == {"sub dir/a b.json", "plus+sign/c%20d.json"} and not bad.collect()
+
+
 def record(org_group):
     return {"abstracts-retrieval-response": {"item": {
         "ait:process-info": {"ait:date-delivered": {"@year": "2021"}},
@@ -103,6 +122,9 @@ def test_sinks_skip_empty_and_write_header(spark, tmpdir_path):
     assert sinks.write_csv(df, f"{tmpdir_path}/out")
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmpdir_path}/out").first()
     assert back["tokens"] == "x y" and back["s"] == 'q"uote'
+    assert sinks.write_csv(df, f"{tmpdir_path}/out")       # overwritten
+    assert sinks.write_csv(empty, f"{tmpdir_path}/out") is False and os.path.exists(f"{tmpdir_path}/out")
+    assert not [n for n in os.listdir(tmpdir_path) if "draft" in n]
     assert sinks.write_json(df, f"{tmpdir_path}/js")
     assert spark.read.json(f"{tmpdir_path}/js").first()["tokens"] == ["x", "y"]
 
@@ -115,7 +137,17 @@ def test_html_cards_defaults_and_cap(spark):
     rows = html.extract_cards(pages, base_url="https://example.org", limit=3).collect()
     assert len(rows) == 3
     assert (rows[0]["Title"], rows[0]["Abstract"], rows[0]["Source"], rows[0]["Year"]) == \
-        ("T & U", "First para.", "https://example.orgNo URL", "No year")
+        ("T & U", "x", "https://example.orgNo URL", "No year")
     assert (rows[1]["Title"], rows[1]["Abstract"], rows[1]["Source"]) == \
         ("No title", "No abstract", "https://example.org/doc/1")
     assert [r["page_id"] for r in rows] == [1, 1, 2]
+    assert html.extract_cards(pages).count() == 4   # no cap unless asked for
+
+
+def test_html_abstract_is_the_first_paragraph_with_text(spark):
+    from litspark.sources import html
+    bodies = ["<p></p><p> <b>in</b>line &amp; <i>more</i></p><p>next</p>", "<pre>no</pre><p class='a'>up to a block<div>not this</div>",
+              "<p>to the end", "<p> </p>"]
+    pages = spark.createDataFrame([(i, f"<article><h1>h</h1>{b}</article>") for i, b in enumerate(bodies)], "page_id long, html string")
+    got = [r["Abstract"] for r in html.extract_cards(pages).orderBy("page_id").collect()]
+    assert got == ["inline & more", "up to a block", "to the end", "No abstract"]
