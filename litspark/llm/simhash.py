@@ -180,7 +180,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, rad
                     bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, root, component_id) for every row of ``docs``; root: the
     fingerprint that stands for the component."""
-    prints = common.materialise(fingerprints(docs, words_per_shingle, id_col, text_col), "simhash")
+    prints = common.materialise(fingerprints(docs, words_per_shingle, id_col, text_col)
+                                .withColumn("part", F.spark_partition_id()), "simhash")
     least = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = connected_components(near_links(least.select("fp"), radius, bucket_rows))
     member = roots.select(F.col("vertex").alias("fp"), "root").unionByName(
@@ -190,7 +191,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, rad
     moved = linked.join(lowest, "root").select("fp", "root", "lowest")
     component = least.join(moved, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "least").alias("component_id"))
-    return prints.join(component, "fp").select("doc_id", "fp", "root", "component_id")
+    # copies share a fingerprint: it meets its component once per part, and the
+    # part's own copies after that, so a crowd of copies is never dealt to one task
+    per_part = prints.select("part", "fp").distinct().join(component, "fp")
+    return prints.join(per_part, ["part", "fp"]).select("doc_id", "fp", "root", "component_id")
 
 
 def hex_print(fp: Column) -> Column:
