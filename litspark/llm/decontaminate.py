@@ -3,13 +3,17 @@
 Words are the ``\\w+`` runs of the lower-cased text. Each n-gram of a test item
 is a seed. A first pass over all documents counts how many of them hold each
 seed; a seed is rare when that count is at most ``RARE_FACTOR`` times the median
-over its item's seeds (or at most ``RARE_FLOOR``). A passage copied into very
-many documents lifts the count of all its seeds alike and so keeps them. The
-second pass joins the documents' n-grams to the rare seeds and aligns the words
+over its item's seeds that any document holds (or at most ``RARE_FLOOR``). The
+second pass joins the documents' n-grams to the seeds and aligns the words
 around each cluster of hits with the item: match +1, mismatch and gap -1,
 divided by the item's length. Documents at ``MIN_SCORE`` or above are
 contaminated.
 
+Rarity decides the cost, not the result: an item of which a document holds only
+common seeds is aligned with it too where the document holds enough of the
+item's words. The score is at most the share of the item's words that are in
+the text, so the words left out by that test could not have reached the limit.
+
 The benchmark is a stated query set and is taken in blocks of at most
 ``block_words`` words, each broadcast to one pass over the documents; a larger
 benchmark means more passes, never a larger broadcast. Documents are not
@@ -83,11 +87,12 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A bounded part of the benchmark: pieces of items and their seeds."""
+    """A bounded part of the benchmark: pieces of items, their seeds and which of these are rare."""
 
     items: list = field(default_factory=list)
     pieces: list[np.ndarray] = field(default_factory=list)
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    is_rare: dict[int, np.ndarray] = field(default_factory=dict)
 
     def build(self) -> "Block":
         """Per seed length: hashes sorted, with the piece and position of each."""
@@ -102,19 +107,21 @@ class Block:
             self.seeds[n] = grams[order], piece[order], pos[order]
         return self
 
-    def rare(self, counts: dict[tuple[int, int], int]) -> "Block":
-        """The same block with only the rare seeds of each piece."""
-        kept = {}
+    def ranked(self, counts: dict[tuple[int, int], int]) -> "Block":
+        """The same block with the seeds that any document holds; at least half of each piece's are rare."""
+        kept, is_rare = {}, {}
         for n, (grams, piece, pos) in self.seeds.items():
             seen = np.fromiter((counts.get((n, g), 0) for g in grams.view(np.int64).tolist()), np.int64, len(grams))
+            there = seen > 0
+            grams, piece, pos, seen = grams[there], piece[there], pos[there], seen[there]
             order = np.lexsort((seen, piece))
             starts = np.flatnonzero(np.diff(piece[order], prepend=-1))
             sizes = np.diff(np.append(starts, len(order)))
             median = np.zeros(len(self.pieces), np.int64)
             median[piece[order][starts]] = seen[order][starts + (sizes - 1) // 2]
-            keep = seen <= np.maximum(RARE_FLOOR, RARE_FACTOR * median[piece])
-            kept[n] = grams[keep], piece[keep], pos[keep]
-        return Block(self.items, self.pieces, kept)
+            kept[n] = grams, piece, pos
+            is_rare[n] = seen <= np.maximum(RARE_FLOOR, RARE_FACTOR * median[piece])
+        return Block(self.items, self.pieces, kept, is_rare)
 
 
 class SeedIndex:
@@ -154,32 +161,44 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def document_matches(hashes: np.ndarray, index: SeedIndex, block: Block) -> dict:
-    """item → (score, end word) of the best alignment with the document's words."""
-    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+def present(item: np.ndarray, words: np.ndarray) -> int:
+    """How many of the item's words are among the sorted distinct ``words``; no alignment scores more."""
+    at = np.searchsorted(words, item)
+    return int((words[np.minimum(at, len(words) - 1)] == item).sum())
+
+
+def document_matches(hashes: np.ndarray, index: SeedIndex, block: Block, min_score: float) -> dict:
+    """item → (score, end word) of the best alignment with the document's words, of scores from ``min_score`` on."""
     tables = {t[0]: t for t in index.tables}
+    hits = []
     for n, at, lo, hi in index.hits(hashes):
         _, _, piece, pos, _ = tables[n]
-        for a, first, last in zip(at.tolist(), lo.tolist(), hi.tolist()):
-            for i in range(first, last):
-                places[int(piece[i])].append((a, int(pos[i])))
+        rows = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
+        hits.append((piece[rows], np.repeat(at, hi - lo), pos[rows], block.is_rare[n][rows]))
     best: dict = {}
-    for p, found in places.items():
+    if not hits:
+        return best
+    pieces, at, pos, rare = (np.concatenate(x) for x in zip(*hits))
+    order = np.lexsort((pos, at, pieces))
+    pieces, at, pos, rare = pieces[order], at[order], pos[order], rare[order]
+    starts = np.flatnonzero(np.diff(pieces, prepend=-1))
+    opened, own = np.logical_or.reduceat(rare, starts), None
+    for first, last, is_open in zip(starts.tolist(), np.append(starts[1:], len(pieces)).tolist(), opened.tolist()):
+        p = int(pieces[first])
         words = block.pieces[p]
-        m, found = len(words), sorted(found)
-        cluster: list[tuple[int, int]] = []
-        clusters = []
-        for hit in found:
-            if cluster and hit[0] - cluster[-1][0] > m:
-                clusters.append(cluster)
-                cluster = []
-            cluster.append(hit)
-        clusters.append(cluster)
-        for c in clusters:
-            lo = max(0, min(a - q for a, q in c) - m // 2)
-            hi = min(len(hashes), max(a + m - q for a, q in c) + m // 2)
+        m = len(words)
+        if not is_open:
+            own = np.unique(hashes) if own is None else own
+            if present(words, own) < min_score * m:
+                continue
+        a, q = at[first:last], pos[first:last]
+        for c in np.split(np.arange(last - first), np.flatnonzero(np.diff(a) > m) + 1):
+            lo = max(0, int((a[c] - q[c]).min()) - m // 2)
+            hi = min(len(hashes), int((a[c] - q[c]).max()) + m + m // 2)
+            if present(words, np.unique(hashes[lo:hi])) < min_score * m:
+                continue
             score, end = align(words, hashes[lo:hi])
-            if score / m > best.get(block.items[p], (0.0, 0))[0]:
+            if score / m >= min_score and score / m > best.get(block.items[p], (0.0, 0))[0]:
                 best[block.items[p]] = score / m, lo + end
     return best
 
@@ -223,18 +242,18 @@ def seed_counts(docs: DataFrame, block: Block, text_col: str) -> dict[tuple[int,
     return {(r["n"], r["seed"]): r["total"] for r in counted.groupBy("n", "seed").agg(F.sum("docs").alias("total")).collect()}
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, text_col: str, block_words: int, schema, emit) -> DataFrame | None:
-    """``emit(batch, texts' matches per row)`` over one pass per block."""
+def _scan(docs: DataFrame, benchmark: DataFrame, min_score: float, text_col: str, block_words: int, schema, emit) -> DataFrame | None:
+    """``emit(batch, texts' matches per row)`` over one pass per block; matches score ``min_score`` or more."""
     spark = docs.sparkSession
     common.bound_batches(spark)
     out, texts = None, docs.columns.index(text_col)
     for block in blocks_of(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(block.rare(seed_counts(docs, block, text_col)))
+        shared = spark.sparkContext.broadcast(block.ranked(seed_counts(docs, block, text_col)))
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known, index = WordHash(), SeedIndex(shared.value)
             for batch in batches:
-                yield emit(batch, [document_matches(hash_words(words_of(t), known), index, shared.value)
+                yield emit(batch, [document_matches(hash_words(words_of(t), known), index, shared.value, min_score)
                                    for t in batch.column(texts).to_pylist()])
 
         source = docs if out is None or schema is not None else out
@@ -251,13 +270,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_score: float =
 
     def emit(batch: pa.RecordBatch, matches: list[dict]) -> pa.RecordBatch:
         rows = [(d, i, s, e) for d, found in zip(batch.column(0).to_pylist(), matches)
-                for i, (s, e) in found.items() if s >= min_score]
+                for i, (s, e) in found.items()]
         columns = list(zip(*rows)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
             columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_id", "item_id", "score", "end_word"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = _scan(given, benchmark, "text", block_words, schema, emit)
+    found = _scan(given, benchmark, min_score, "text", block_words, schema, emit)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
     # an item cut over two blocks is found twice
@@ -270,7 +289,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float =
     """The rows of ``docs`` that no test item reaches; columns unchanged, text not shuffled."""
 
     def emit(batch: pa.RecordBatch, matches: list[dict]) -> pa.RecordBatch:
-        return batch.filter(pa.array([all(s < min_score for s, _ in found.values()) for found in matches], pa.bool_()))
+        return batch.filter(pa.array([not found for found in matches], pa.bool_()))
 
-    kept = _scan(docs, benchmark, text_col, block_words, None, emit)
+    kept = _scan(docs, benchmark, min_score, text_col, block_words, None, emit)
     return docs if kept is None else kept

@@ -70,6 +70,33 @@ def test_a_passage_in_every_document_is_still_rare(spark):
     assert D.find_contamination(docs, bench).count() == 500 and D.drop_contaminated(docs, bench).count() == 0
 
 
+def aligned_fully(docs, items):
+    out = {}
+    for d, text in docs:
+        plain = D.words_of(text)
+        for i, words in items:
+            score = naive_align(words, plain) / len(words)
+            if score >= D.MIN_SCORE:
+                out[d, i] = score
+    return out
+
+
+def test_hundreds_of_equal_edited_copies_are_found(spark):
+    rng = random.Random(8)
+    words = item(rng, 40)
+    sevenths = [f"new{n}" if n % 7 == 6 else w for n, w in enumerate(words)]
+    copies = [(d, f"start {d} " + " ".join(sevenths) + f" end {d}") for d in range(300)]
+    # alone, beside a whole copy, and beside many texts with one seed each, which lower the median
+    others = [[], [(900, " ".join(words))], [(1000 + n, f"other {n} " + " ".join(words[n: n + D.SEED_WORDS])) for n in range(30)]]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    one = aligned_fully(copies[:1], [(1, words)])
+    for more in others:
+        docs = copies + more
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.find_contamination(spark.createDataFrame(
+            docs, "doc_id long, text string"), bench).collect()}
+        assert got == {(d, 1): one[0, 1] for d, _ in copies} | aligned_fully(more, [(1, words)]) and len(got) >= 300
+
+
 def test_long_items_and_messy_rows(spark, messy, nothing):
     long_words = item(random.Random(7), 2500)
     bench = spark.createDataFrame([(1, " ".join(long_words)), (2, PROSE), (2, PROSE), (3, None)], "item_id long, text string")
