@@ -20,9 +20,9 @@ benchmark means more passes, never a larger broadcast. Documents are not
 shuffled, so a passage that a third of them share costs no skew.
 
 Defined cases: null, empty and wordless texts or items match nothing; items
-shorter than a seed use one seed of their own length; an item with more than
-``MAX_ITEM_WORDS`` words is aligned in consecutive pieces and takes the best
-piece's score; equal items are reported each under its own id; of
+shorter than a seed use one seed of their own length; an item of any length is
+aligned whole and scored against its whole length, and one of more than
+``block_words`` words is a block by itself; equal items are reported each under its own id; of
 repeated rows with one doc_id the best score is reported; an empty table gives an empty result.
 """
 
@@ -45,7 +45,6 @@ SEED_WORDS = 4
 MIN_SCORE = 0.5
 RARE_FACTOR = 20
 RARE_FLOOR = 100
-MAX_ITEM_WORDS = 1000
 BLOCK_WORDS = 500_000
 FILTER_BITS = 22
 
@@ -87,17 +86,17 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """A bounded part of the benchmark: pieces of items, their seeds and which of these are rare."""
+    """A bounded part of the benchmark: items, their words, their seeds and which of these are rare."""
 
     items: list = field(default_factory=list)
-    pieces: list[np.ndarray] = field(default_factory=list)
+    words: list[np.ndarray] = field(default_factory=list)
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     is_rare: dict[int, np.ndarray] = field(default_factory=dict)
 
     def build(self) -> "Block":
-        """Per seed length: hashes sorted, with the piece and position of each."""
+        """Per seed length: hashes sorted, with the item's number and the position of each."""
         found = defaultdict(list)
-        for p, words in enumerate(self.pieces):
+        for p, words in enumerate(self.words):
             n = min(SEED_WORDS, len(words))
             grams = ngram_hashes(words, n)
             found[n].append((grams, np.full(len(grams), p, np.int32), np.arange(len(grams), dtype=np.int32)))
@@ -108,7 +107,7 @@ class Block:
         return self
 
     def ranked(self, counts: dict[tuple[int, int], int]) -> "Block":
-        """The same block with the seeds that any document holds; at least half of each piece's are rare."""
+        """The same block with the seeds that any document holds; at least half of each item's are rare."""
         kept, is_rare = {}, {}
         for n, (grams, piece, pos) in self.seeds.items():
             seen = np.fromiter((counts.get((n, g), 0) for g in grams.view(np.int64).tolist()), np.int64, len(grams))
@@ -117,11 +116,11 @@ class Block:
             order = np.lexsort((seen, piece))
             starts = np.flatnonzero(np.diff(piece[order], prepend=-1))
             sizes = np.diff(np.append(starts, len(order)))
-            median = np.zeros(len(self.pieces), np.int64)
+            median = np.zeros(len(self.words), np.int64)
             median[piece[order][starts]] = seen[order][starts + (sizes - 1) // 2]
             kept[n] = grams, piece, pos
             is_rare[n] = seen <= np.maximum(RARE_FLOOR, RARE_FACTOR * median[piece])
-        return Block(self.items, self.pieces, kept, is_rare)
+        return Block(self.items, self.words, kept, is_rare)
 
 
 class SeedIndex:
@@ -161,6 +160,14 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def align_copy(item: np.ndarray, text: np.ndarray, starts: np.ndarray) -> tuple[int, int]:
+    """``align``, at once where the text has the whole item at the first of ``starts``."""
+    start, m = int(starts.min()), len(item)
+    if start >= 0 and np.array_equal(text[start: start + m], item):
+        return m, start + m
+    return align(item, text)
+
+
 def present(item: np.ndarray, words: np.ndarray) -> int:
     """How many of the item's words are among the sorted distinct ``words``; no alignment scores more."""
     at = np.searchsorted(words, item)
@@ -185,7 +192,7 @@ def document_matches(hashes: np.ndarray, index: SeedIndex, block: Block, min_sco
     opened, own = np.logical_or.reduceat(rare, starts), None
     for first, last, is_open in zip(starts.tolist(), np.append(starts[1:], len(pieces)).tolist(), opened.tolist()):
         p = int(pieces[first])
-        words = block.pieces[p]
+        words = block.words[p]
         m = len(words)
         if not is_open:
             own = np.unique(hashes) if own is None else own
@@ -197,7 +204,7 @@ def document_matches(hashes: np.ndarray, index: SeedIndex, block: Block, min_sco
             hi = min(len(hashes), int((a[c] - q[c]).max()) + m + m // 2)
             if present(words, np.unique(hashes[lo:hi])) < min_score * m:
                 continue
-            score, end = align(words, hashes[lo:hi])
+            score, end = align_copy(words, hashes[lo:hi], a[c] - q[c] - lo)
             if score / m >= min_score and score / m > best.get(block.items[p], (0.0, 0))[0]:
                 best[block.items[p]] = score / m, lo + end
     return best
@@ -210,14 +217,13 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
                                            ).toLocalIterator()
     for row in rows:
         words = hash_words(words_of(row["text"]), known)
-        for start in range(0, len(words), MAX_ITEM_WORDS):
-            piece = words[start: start + MAX_ITEM_WORDS]
-            if size and size + len(piece) > block_words:
-                yield block.build()
-                block, size = Block(), 0
+        if size and size + len(words) > block_words:
+            yield block.build()
+            block, size = Block(), 0
+        if len(words):
             block.items.append(row["item"])
-            block.pieces.append(piece)
-            size += len(piece)
+            block.words.append(words)
+            size += len(words)
     if size:
         yield block.build()
 
@@ -279,7 +285,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, min_score: float =
     found = _scan(given, benchmark, min_score, "text", block_words, schema, emit)
     if found is None:
         return docs.sparkSession.createDataFrame([], schema)
-    # an item cut over two blocks is found twice
+    # repeated rows, and equal ids in two blocks, are found twice
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word")).alias("m")).select(
         "doc_id", "item_id", "m.score", "m.end_word")
 

@@ -97,6 +97,21 @@ def test_hundreds_of_equal_edited_copies_are_found(spark):
         assert got == {(d, 1): one[0, 1] for d, _ in copies} | aligned_fully(more, [(1, words)]) and len(got) >= 300
 
 
+def test_long_items_are_scored_whole(spark):
+    rng = random.Random(9)
+    items = [(n, item(rng, n)) for n in (1001, 1003, 1007, 2500)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    docs = [(n, " ".join(item(rng, 30) + w[1000:1008] + item(rng, 30))) for n, w in items]  # the words after the first 1000
+    docs += [(n + 1, " ".join(edited(rng, w, 0.15))) for n, w in items]
+    docs += [(5000, " ".join(items[3][1][:1200])), (5001, " ".join(items[3][1][:1300]))]  # less and more than half
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for block_words in (D.BLOCK_WORDS, 1500):
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.find_contamination(table, bench, block_words=block_words).collect()}
+        assert set(got) == {(n + 1, n) for n, _ in items} | {(5001, 2500)} and got[5001, 2500] == 1300 / 2500
+        full = naive_align(items[0][1], D.words_of(docs[4][1])) / 1001
+        assert abs(got[1002, 1001] - full) < 1e-9
+
+
 def test_long_items_and_messy_rows(spark, messy, nothing):
     long_words = item(random.Random(7), 2500)
     bench = spark.createDataFrame([(1, " ".join(long_words)), (2, PROSE), (2, PROSE), (3, None)], "item_id long, text string")
