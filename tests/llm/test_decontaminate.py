@@ -97,6 +97,24 @@ def test_hundreds_of_equal_edited_copies_are_found(spark):
         assert got == {(d, 1): one[0, 1] for d, _ in copies} | aligned_fully(more, [(1, words)]) and len(got) >= 300
 
 
+def test_evenly_edited_copies_are_found(spark):
+    rng = random.Random(10)
+    items = [(n, item(rng, n)) for n in (9, 10, 11, 12, 40, 41, 42, 43, 60)]
+    new = lambda n: f"new{n}"
+    docs = []
+    for n, w in items:
+        for k in (1, 2, 3, 4, 5):
+            docs.append([x for i, y in enumerate(w) for x in ([y, new(i)] if i % k == k - 1 else [y])])  # one more after every k
+            docs.append([new(i) if i % k == k - 1 else y for i, y in enumerate(w)])  # every k-th replaced
+            docs.append([y for i, y in enumerate(w) if i % k != k - 1])  # every k-th left out
+        docs += [edited(rng, w, share) for share in (0.3, 0.35, 0.4, 0.45) for _ in range(8)]
+    docs = [(d, " ".join(item(rng, 20) + w + item(rng, 20))) for d, w in enumerate(docs)]
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.find_contamination(spark.createDataFrame(
+        docs, "doc_id long, text string"), bench).collect()}
+    assert got == aligned_fully(docs, items) and len(got) > 150
+
+
 def test_long_items_are_scored_whole(spark):
     rng = random.Random(9)
     items = [(n, item(rng, n)) for n in (1001, 1003, 1007, 2500)]
