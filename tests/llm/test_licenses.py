@@ -49,3 +49,71 @@ def test_tables_are_normalised():
     for sentence in L.sentence_table():
         assert sentence == re.sub("[^a-z0-9]+", " ", sentence.lower()).strip() and trigger.search(sentence), sentence
     assert {i for _, ids in L.rules() for i in ids} <= set(L.sentence_table().values())
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+GPL = """This program is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{mark2} either version {version} of the License, or
+(at your option) any later version."""
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0}Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+{1}Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{2}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+
+BSD_NAMES = """
+{}Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+OFFICIAL = {
+    "Apache-2.0": APACHE,
+    "MIT": MIT,
+    "GPL-3.0-or-later": GPL.format(mark=":", mark2=",", version=3),
+    "GPL-2.0-or-later": GPL.format(mark=";", mark2=";", version=2),
+    "BSD-2-Clause": BSD.format("1. ", "2. ", ""),
+    "BSD-3-Clause": BSD.format("1. ", "2. ", BSD_NAMES.format("3. ")),
+}
+
+
+def commented(text, leader, first="", last=""):
+    return first + "\n".join((leader + line).rstrip() for line in text.split("\n")) + last
+
+
+def test_official_headers_plain_and_in_comments(spark):
+    forms = [lambda t: t, lambda t: commented(t, "# "), lambda t: commented(t, "// "), lambda t: commented(t, " * ", "/*\n", "\n */"),
+             lambda t: commented(t, "-- "), lambda t: commented(t, "    "), lambda t: t.replace("\n", "\r\n"), lambda t: t.replace("\n", " ")]
+    cases = [(name, form(text)) for name, text in OFFICIAL.items() for form in forms]
+    cases.append(("BSD-3-Clause", BSD.format("* ", "* ", BSD_NAMES.format("* "))))
+    cases.append(("GPL-3.0-only", "# This work is licensed under\n# the GNU General Public License,\n# version 3.\nimport os"))
+    got = scan(spark, [text for _, text in cases])
+    assert {i: (got[i]["licences"], got[i]["unmatched"]) if i in got else None for i in range(len(cases))} == {
+        i: (name, "") for i, (name, _) in enumerate(cases)}
+
+
+def test_a_run_of_words_keeps_its_place_and_its_bounds(spark):
+    got = scan(spark, ["All rights reserved.\n" + APACHE + "\nReleased under the MIT License.", "word " + GPL.format(mark=":", mark2=",", version=30)])
+    assert got[0]["sentence_ids"] == "AllRights,ApacheRef,ApacheUse,ApacheCopy,MitRef" and 1 not in got
