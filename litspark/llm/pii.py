@@ -13,12 +13,14 @@ Each is used as  decrypt(encrypt(x) + 1),  which is again a permutation and has
 no fixed point: no value is ever its own pseudonym.
 
 Kinds and what is kept: e-mail addresses (domain and punctuation), telephone
-numbers (country code and punctuation), IPv4 addresses (four octets below 256),
+numbers (punctuation and, where it is set off, the country code; of one in
+E.164 form without separators the first digit), IPv4 addresses (four octets below 256),
 card and account numbers of 13 to 19 digits (separators; a number that passes
 the Luhn check still does, one that fails keeps its difference), IBANs with
 right check digits (country, length, valid check digits), US social security
-numbers with valid area, group and serial (still valid), calendar dates (day-
-first or year-first order and separators; a date within the same 400 years),
+numbers with valid area, group and serial (still valid), calendar dates (year-first, day-first or,
+where that is no date, month-first order and separators; a date within the
+same 400 years; a time after an ISO date stays),
 and hexadecimal secrets of 24 to 128 digits with at least one decimal digit
 (length and case). What fails its kind's validation is left alone.
 
@@ -50,11 +52,16 @@ SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 #: Java patterns; one text is searched for all of them at once, the first that fits at a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "date": r"(?<![\p{L}\p{N}.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![\p{L}\p{N}]|[-/.]\d)",
+    "date": r"(?<![\p{L}\p{N}.-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?:(?![\p{L}\p{N}]|[-/.]\d)|(?=[Tt]\d{2}(?::?\d{2})))",
     "ipv4": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\p{L}\p{N}])"
+             # country code and groups of two to four; pairs after a leading zero; no separators
+             r"|(?<![\p{L}\p{N}+])\+\d{1,3}[ .-](?:\(0\)[ .-]?)?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-])\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\p{L}\p{N}])"
+             r"|(?<![\p{L}\p{N}]|\d[ .-])0\d(?:[ .-]\d{2}){4}(?![\p{L}\p{N}]|[ .-]\d)"
+             r"|(?<![\p{L}\p{N}+])\+[1-9]\d{6,14}(?![\p{L}\p{N}])"
+             r"|(?<![\p{L}\p{N}.,+]|\d-)\d{10}(?![\p{L}\p{N}]|[.,-]\d)",
     "number": r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])",
     "secret": r"(?<![\p{L}\p{N}])(?=[0-9A-Fa-f]{24})(?=[A-Fa-f]*\d)(?:[0-9a-f]{24,128}|[0-9A-F]{24,128})(?![\p{L}\p{N}])",
 }
@@ -163,7 +170,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.regexp_extract(m, r"^\+\d{1,3}[ .-]?", 0)
+    country = F.when(m.rlike(r"^\+\d{7,15}$"), F.substring(m, 1, 2)).otherwise(F.regexp_extract(m, r"^\+\d{1,3}[ .-]?", 0))
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     return F.concat(country, refill(rest, "[0-9]", permute_string(only(rest, "[^0-9]"), DIGITS, key, "phone")))
 
@@ -228,20 +235,27 @@ def _date(m: Column, key: str) -> Column:
     mark = F.substring(only(m, "[0-9]"), 1, 1)
     parts = F.regexp_extract_all(m, F.lit(r"\d+"), F.lit(0))
     width = F.when(year_first, F.length(parts[2])).otherwise(F.length(parts[0]))
-    day = F.try_to_date(F.concat_ws("-", F.when(year_first, parts[0]).otherwise(parts[2]), F.lpad(parts[1], 2, "0"),
-                                    F.lpad(F.when(year_first, parts[2]).otherwise(parts[0]), 2, "0")), "yyyy-MM-dd")
+
+    def read(year: Column, month: Column, day: Column) -> Column:
+        return F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
     first = F.lit(FIRST_DAY).cast("date")
 
-    def write(n: Column) -> Column:
-        new = F.date_add(first, n.cast("int"))
-        # a value written without leading zeros stays so where the new number allows it
-        d, mo = F.lpad(F.day(new).cast("string"), 2, "0"), F.lpad(F.month(new).cast("string"), 2, "0")
-        y = F.year(new).cast("string")
-        return F.when(year_first, F.concat_ws("-", y, mo, d)).otherwise(F.concat_ws("-", d, mo, y))
+    def build(usual: Column, month_first: Column) -> Column:
+        day = F.coalesce(usual, month_first)
+
+        def write(n: Column) -> Column:
+            new = F.date_add(first, n.cast("int"))
+            # a value written without leading zeros stays so where the new number allows it
+            d, mo = F.lpad(F.day(new).cast("string"), 2, "0"), F.lpad(F.month(new).cast("string"), 2, "0")
+            y = F.year(new).cast("string")
+            return F.when(year_first, F.concat_ws("-", y, mo, d)).when(usual.isNull(), F.concat_ws("-", mo, d, y)).otherwise(
+                F.concat_ws("-", d, mo, y))
 
-    good = day.isNotNull() & (day >= first) & (day <= F.lit(LAST_DAY).cast("date")) & (width <= 2)
-    new = let(permute_integer(F.datediff(day, first), DAYS_A, DAYS_B, key, "date"), write)
-    return F.when(good, F.replace(new, F.lit("-"), mark)).otherwise(m)
+        good = day.isNotNull() & (day >= first) & (day <= F.lit(LAST_DAY).cast("date")) & (width <= 2)
+        new = let(permute_integer(F.datediff(day, first), DAYS_A, DAYS_B, key, "date"), write)
+        return F.when(good, F.replace(new, F.lit("-"), mark)).otherwise(m)
+    return over([F.when(year_first, read(parts[0], parts[1], parts[2])).otherwise(read(parts[2], parts[1], parts[0])),
+                 F.when(~year_first, read(parts[2], parts[0], parts[1]))], build)
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -256,6 +270,7 @@ def kind_of(m: Column) -> Column:
             .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ipv4")
             .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
             .when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"), "iban")
+            .when(m.rlike(r"^(\+.*|\d{10}|0\d([ .-]\d{2}){4})$"), "phone")
             .when(m.rlike(r"^\d+$") & (F.length(m) < 20), "number")
             .when(m.rlike(r"^([0-9a-f]{24,}|[0-9A-F]{24,})$"), "secret")
             .when(m.rlike(r"^(\+\d{1,3}[ .-]?)?(\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}$"), "phone")

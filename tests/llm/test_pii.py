@@ -66,6 +66,32 @@ def test_every_kind_keeps_its_format_and_changes(spark):
             assert re.fullmatch("[0-9a-f]+" if value[2].islower() or value[-1].islower() else "[0-9A-F]+", new)
 
 
+def test_month_first_dates_and_timestamps(spark):
+    values = ["03/25/2024", "12-31-1999", "2.28.2001", "2024-01-15T10:30:00Z", "2024-01-15T1030", "2024/1/5"]
+    texts, found = masked(spark, [f"see {v}, ok" for v in values])
+    for value, text, hits in zip(values, texts, found):
+        new, date = re.fullmatch("see (.*), ok", text)[1], re.split("T", value)[0]
+        assert hits == [date] and new.endswith(value[len(date):]) and not new.startswith(date)
+        parts = list(map(int, re.findall(r"\d+", new)[:3]))
+        y, m, d = parts if value[:4].isdigit() else (parts[2], parts[0], parts[1])
+        assert 1800 <= datetime.date(y, m, d).year <= 2199
+    left = ["13/25/2024", "02/30/2024", "2024-01-15Tuesday", "2024-02-30T10:30:00Z"]
+    assert masked(spark, left)[0] == left
+
+
+def test_telephone_numbers_without_separators_and_in_pairs(spark):
+    values = ["+14155552671", "+33 1 23 45 67 89", "+33123456789", "01 23 45 67 89", "01.23.45.67.89", "4155552671", "+49 30 12 34 56",
+              "+442079460958", "+44 20 7946 0958", "+33 (0)1 23 45 67 89", "+1 415 555 2671", "+998901234567890"]
+    texts, found = masked(spark, [f"call {v}, ok" for v in values])
+    for value, text, hits in zip(values, texts, found):
+        new = re.fullmatch("call (.*), ok", text)[1]
+        assert hits == [value] and new != value and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", value), (value, hits, new)
+        if " " in value and value[0] == "+":
+            assert new.split()[0] == value.split()[0]
+    left = ["+123456", "123456789", "12345678901", "3.1415926535", "12 34 56", "order 01 23 45", "a+14155552671b"]
+    assert masked(spark, left)[0] == left
+
+
 def test_octets_stay_octets(spark):
     texts, _ = masked(spark, [f"{a}.{b}.7.9" for a in range(0, 256, 17) for b in (0, 128, 255)])
     assert all(0 <= int(x) <= 255 for t in texts for x in t.split(".")) and len(set(texts)) == len(texts)
