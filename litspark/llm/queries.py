@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litspark.llm import (decontaminate, kneser_ney, langid, licenses, packing, pii, preference, quality_rules,
-                          sharding, simhash)
+from litspark.llm import (decontaminate, kneser_ney, langid, lexical_search, licenses, line_dedup, packing, pii, preference,
+                          prefix_trie, quality_rules, sharding, simhash)
 from litspark.llm.common import documents
 
 #: Key of the registered pseudonym queries; a deployment passes its own secret.
@@ -57,6 +57,19 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_reversed_search(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": (op1_benchmark_decontamination, None),
     "op2_language_id": (op2_language_id, None),
@@ -68,4 +81,7 @@ QUERIES = {
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_simhash_near_duplicates": (op9_simhash_near_duplicates, None),
     "op10_best_fit_packing": (op10_best_fit_packing, None),
+    "op11_prefix_trie": (op11_prefix_trie, prefix_trie.ORACLE_SQL),
+    "op12_reversed_search": (op12_reversed_search, lexical_search.ORACLE_SQL),
+    "op13_line_dedup": (op13_line_dedup, line_dedup.ORACLE_SQL),
 }
