@@ -3,7 +3,7 @@
 import pytest
 
 from litspark.llm.queries import QUERIES
-from litspark.plans.oracle_check import compare, duckdb_connection
+from litspark.plans.oracle_check import compare, duckdb_connection, rows_of
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -20,7 +20,7 @@ def test_query(spark, name):
     query, sql = QUERIES[name]
     out = query(spark, SF)
     assert set(COLUMNS.get(name, out.columns)) <= set(out.columns)
-    rows = out.toPandas()
+    rows = rows_of(out)
     assert len(rows)
     if sql:
         ok, message = compare(rows, duckdb_connection(SF).execute(sql).df())
