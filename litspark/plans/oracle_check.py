@@ -33,6 +33,11 @@ def _norm(v) -> str:
     return str(v)
 
 
+def rows_of(df) -> pd.DataFrame:
+    """The rows of a Spark frame with whole numbers kept whole where others are null."""
+    return pd.DataFrame([tuple(r) for r in df.collect()], columns=df.columns, dtype=object)
+
+
 def digest(df: pd.DataFrame) -> tuple[str, list[str]]:
     cols = sorted(df.columns)
     rows = sorted("|".join(_norm(v) for v in rec) for rec in df[cols].itertuples(index=False, name=None))
