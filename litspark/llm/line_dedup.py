@@ -121,7 +121,7 @@ class LineRuns:
     def _summed(self, names: list[str]) -> DataFrame:
         """Several runs as one. Their files are read as one plain scan: a union of bucketed
         tables would pass for one that is dealt by its keys already."""
-        rows = self.spark.read.parquet(*[self._paths[n] for n in names])
+        rows = self.spark.read.schema("h long, g long, docs long, top long").parquet(*[self._paths[n] for n in names])
         return rows.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("top").alias("top"))
 
     def _compact(self, level: int, into: int) -> None:
