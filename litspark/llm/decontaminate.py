@@ -19,10 +19,13 @@ The benchmark is a stated query set and is taken in blocks of at most
 benchmark means more passes, never a larger broadcast. Documents are not
 shuffled, so a passage that a third of them share costs no skew.
 
-Seeds are ``SEED_WORDS`` (three) words of an item, found in a document in a row
-or with one more word before the last. In a copy of an item of nine or more
-words that scores 0.5 some seed is always left (README), so the seeds miss
-nothing that the alignment would find there.
+Seeds are ``SEED_WORDS`` (three) words of an item, or two where it has no more than
+``SHORT_ITEM`` (eight), found in a document in a row or with one more word before
+the last. In a copy that scores 0.5 some seed is always left (README), so the seeds
+miss nothing that the alignment would find.
+
+Texts are hashed and searched in groups laid end to end, so the cost of a step is
+shared by many short texts.
 
 Defined cases: null, empty and wordless texts or items match nothing; items
 shorter than a seed use one seed of their own length; an item of any length is
@@ -47,27 +50,34 @@ from pyspark.sql import functions as F
 from litspark.llm import common
 
 SEED_WORDS = 3
+SHORT_ITEM = 8
 MIN_SCORE = 0.5
 RARE_FACTOR = 20
 RARE_FLOOR = 100
 BLOCK_WORDS = 500_000
 FILTER_BITS = 22
 
+#: Texts are searched in groups of about this many words.
+GROUP_WORDS = 1 << 19
+
 _WORD = re.compile(r"\w+")
+_SIGN = re.compile(r"[^\w\x00-\x7f]")
+#: ASCII characters outside words become spaces; the bytes of all others stay
+_SPACED = bytes(b if b >= 128 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHash(dict):
-    """word → 64-bit hash, forgetting everything when it holds ``most`` words."""
+    """word in UTF-8 → 64-bit hash, forgetting everything when it holds ``most`` words."""
 
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode())
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
@@ -75,20 +85,34 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def hash_words(words: list[str], known: WordHash) -> np.ndarray:
+def hash_words(text: str | None, known: WordHash) -> np.ndarray:
+    """Hashes of ``words_of(text)``, split as bytes."""
+    if not text:
+        return np.empty(0, np.uint64)
+    low = text.lower()
+    words = (low if low.isascii() else _SIGN.sub(" ", low)).encode().translate(_SPACED).split()
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def ngram_hashes(hashes: np.ndarray, n: int, gap: int = 0) -> np.ndarray:
-    """One hash per run of n words, the last one ``gap`` words further on."""
-    size = len(hashes) - n + 1 - gap
-    if size <= 0:
-        return np.empty(0, np.uint64)
-    total = hashes[:size].copy()
-    for i in range(1, n):
-        at = i + gap if i == n - 1 else i
-        total = (total ^ (total >> np.uint64(29))) * _MIX + hashes[at: size + at]
-    return total ^ (total >> np.uint64(32))
+def ngram_hashes(hashes: np.ndarray, n: int, gaps: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """For each gap, one hash per run of n words of which the last is ``gap`` words further on."""
+    start = hashes[: max(0, len(hashes) - n + 1)].copy()
+    for i in range(1, n - 1):
+        start = (start ^ (start >> np.uint64(29))) * _MIX + hashes[i: len(start) + i]
+    if n == 1:
+        return [start ^ (start >> np.uint64(32))]
+    start = (start ^ (start >> np.uint64(29))) * _MIX
+    out = []
+    for gap in gaps:
+        last = hashes[n - 1 + gap:]
+        total = start[: len(last)] + last
+        out.append(total ^ (total >> np.uint64(32)))
+    return out
+
+
+def seed_length(words: int) -> int:
+    """Words of a seed of an item of that many words."""
+    return min(SEED_WORDS if words > SHORT_ITEM else SEED_WORDS - 1, words)
 
 
 @dataclass
@@ -104,8 +128,8 @@ class Block:
         """Per seed length: hashes sorted, with the item's number and the position of each."""
         found = defaultdict(list)
         for p, words in enumerate(self.words):
-            n = min(SEED_WORDS, len(words))
-            grams = ngram_hashes(words, n)
+            n = seed_length(len(words))
+            grams = ngram_hashes(words, n)[0]
             found[n].append((grams, np.full(len(grams), p, np.int32), np.arange(len(grams), dtype=np.int32)))
         for n, parts in found.items():
             grams, piece, pos = (np.concatenate(x) for x in zip(*parts))
@@ -140,12 +164,17 @@ class SeedIndex:
             bits[grams & np.uint64((1 << FILTER_BITS) - 1)] = True
             self.tables.append((n, grams, piece, pos, bits))
 
-    def hits(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(n, places in the document, first and end rows of the equal seeds)."""
+    def hits(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(n, places, first and end rows of the equal seeds) in texts laid end to end;
+        ``ends`` has for each word the end of its text, which no seed crosses."""
         for n, grams, _, _, bits in self.tables:
-            parts = [ngram_hashes(hashes, n, gap) for gap in ((0, 1) if n == SEED_WORDS else (0,))]
-            found = [np.flatnonzero(bits[own & np.uint64((1 << FILTER_BITS) - 1)]) for own in parts]
-            own, at = np.concatenate([own[f] for own, f in zip(parts, found)]), np.concatenate(found)
+            own, at = [], []
+            for gap, found in enumerate(ngram_hashes(hashes, n, (0, 1))):
+                where = np.flatnonzero(bits[found & np.uint64((1 << FILTER_BITS) - 1)])
+                where = where[where + n + gap <= ends[where]]
+                own.append(found[where])
+                at.append(where)
+            own, at = np.concatenate(own), np.concatenate(at)
             if len(at):
                 lo, hi = np.searchsorted(grams, own), np.searchsorted(grams, own, side="right")
                 real = hi > lo
@@ -153,6 +182,36 @@ class SeedIndex:
                     yield n, at[real], lo[real], hi[real]
 
 
+@dataclass
+class Texts:
+    """Some texts as word hashes, end to end; text i is ``hashes[starts[i]: starts[i + 1]]``."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+
+    @staticmethod
+    def groups(texts: list[str | None], known: WordHash) -> Iterator["Texts"]:
+        parts, size = [], 0
+        for text in texts:
+            parts.append(hash_words(text, known))
+            size += len(parts[-1])
+            if size >= GROUP_WORDS:
+                yield Texts.of(parts)
+                parts, size = [], 0
+        if parts:
+            yield Texts.of(parts)
+
+    @staticmethod
+    def of(parts: list[np.ndarray]) -> "Texts":
+        return Texts(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64))
+
+    def ends(self) -> np.ndarray:
+        return np.repeat(self.starts[1:], np.diff(self.starts))
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best Smith-Waterman score of two word sequences and where it ends in ``text``."""
     columns = np.arange(len(text) + 1)
@@ -182,31 +241,31 @@ def present(item: np.ndarray, words: np.ndarray) -> int:
     return int((words[np.minimum(at, len(words) - 1)] == item).sum())
 
 
-def document_matches(hashes: np.ndarray, index: SeedIndex, block: Block, min_score: float) -> dict:
-    """item → (score, end word) of the best alignment with the document's words, of scores from ``min_score`` on."""
+def text_matches(texts: Texts, index: SeedIndex, block: Block, min_score: float) -> list[dict]:
+    """Per text: item → (score, end word) of the best alignment with its words, of scores from ``min_score`` on."""
     tables = {t[0]: t for t in index.tables}
+    out: list[dict] = [{} for _ in range(len(texts.starts) - 1)]
     hits = []
-    for n, at, lo, hi in index.hits(hashes):
+    for n, at, lo, hi in index.hits(texts.hashes, texts.ends()):
         _, _, piece, pos, _ = tables[n]
         rows = np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())
-        hits.append((piece[rows], np.repeat(at, hi - lo), pos[rows], block.is_rare[n][rows]))
-    best: dict = {}
+        hits.append((np.repeat(texts.text_of(at), hi - lo), piece[rows], np.repeat(at, hi - lo), pos[rows], block.is_rare[n][rows]))
     if not hits:
-        return best
-    pieces, at, pos, rare = (np.concatenate(x) for x in zip(*hits))
-    order = np.lexsort((pos, at, pieces))
-    pieces, at, pos, rare = pieces[order], at[order], pos[order], rare[order]
-    starts = np.flatnonzero(np.diff(pieces, prepend=-1))
-    opened, own = np.logical_or.reduceat(rare, starts), None
+        return out
+    text, pieces, at, pos, rare = (np.concatenate(x) for x in zip(*hits))
+    order = np.lexsort((pos, at, pieces, text))
+    text, pieces, at, pos, rare = text[order], pieces[order], at[order], pos[order], rare[order]
+    starts = np.flatnonzero((np.diff(pieces, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    opened, own, own_of = np.logical_or.reduceat(rare, starts), None, -1
     for first, last, is_open in zip(starts.tolist(), np.append(starts[1:], len(pieces)).tolist(), opened.tolist()):
-        p = int(pieces[first])
-        words = block.words[p]
-        m = len(words)
+        p, t = int(pieces[first]), int(text[first])
+        words, begin = block.words[p], int(texts.starts[t])
+        hashes, m = texts.hashes[begin: texts.starts[t + 1]], len(block.words[p])
         if not is_open:
-            own = np.unique(hashes) if own is None else own
+            own, own_of = (own, t) if own_of == t else (np.unique(hashes), t)
             if present(words, own) < min_score * m:
                 continue
-        a, q = at[first:last], pos[first:last]
+        a, q, best = at[first:last] - begin, pos[first:last], out[t]
         for c in np.split(np.arange(last - first), np.flatnonzero(np.diff(a) > m) + 1):
             lo = max(0, int((a[c] - q[c]).min()) - m // 2)
             hi = min(len(hashes), int((a[c] - q[c]).max()) + m + m // 2)
@@ -215,7 +274,7 @@ def document_matches(hashes: np.ndarray, index: SeedIndex, block: Block, min_sco
             score, end = align_copy(words, hashes[lo:hi], a[c] - q[c] - lo)
             if score / m >= min_score and score / m > best.get(block.items[p], (0.0, 0))[0]:
                 best[block.items[p]] = score / m, lo + end
-    return best
+    return out
 
 
 def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
@@ -224,7 +283,7 @@ def blocks_of(benchmark: DataFrame, block_words: int) -> Iterator[Block]:
     rows: Iterator[Row] = benchmark.select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text")
                                            ).toLocalIterator()
     for row in rows:
-        words = hash_words(words_of(row["text"]), known)
+        words = hash_words(row["text"], known)
         if size and size + len(words) > block_words:
             yield block.build()
             block, size = Block(), 0
@@ -244,9 +303,10 @@ def seed_counts(docs: DataFrame, block: Block, text_col: str) -> dict[tuple[int,
         known, index = WordHash(), SeedIndex(shared.value)
         totals = {t[0]: np.zeros(len(t[1]), np.int64) for t in index.tables}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for n, _, lo, _ in index.hits(hash_words(words_of(text), known)):
-                    totals[n][np.unique(lo)] += 1
+            for texts in Texts.groups(batch.column(0).to_pylist(), known):
+                for n, at, lo, _ in index.hits(texts.hashes, texts.ends()):
+                    once = np.unique(texts.text_of(at) * len(totals[n]) + lo) % len(totals[n])
+                    totals[n] += np.bincount(once, minlength=len(totals[n]))
         for n, grams, *_ in index.tables:
             some = np.flatnonzero(totals[n])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(grams[some].view(np.int64)),
@@ -267,8 +327,8 @@ def _scan(docs: DataFrame, benchmark: DataFrame, min_score: float, text_col: str
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known, index = WordHash(), SeedIndex(shared.value)
             for batch in batches:
-                yield emit(batch, [document_matches(hash_words(words_of(t), known), index, shared.value, min_score)
-                                   for t in batch.column(texts).to_pylist()])
+                yield emit(batch, [found for group in Texts.groups(batch.column(texts).to_pylist(), known)
+                                   for found in text_matches(group, index, shared.value, min_score)])
 
         source = docs if out is None or schema is not None else out
         part = source.mapInArrow(match, schema or docs.schema)

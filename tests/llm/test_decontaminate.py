@@ -142,3 +142,26 @@ def test_long_items_and_messy_rows(spark, messy, nothing):
     assert D.find_contamination(nothing, bench).count() == 0
     assert D.drop_contaminated(messy, bench.limit(0)).count() == messy.count()
     assert D.find_contamination(messy, bench.limit(0)).count() == 0
+
+
+def test_short_items_with_every_third_word_replaced(spark):
+    """Items of three to eight words keep a seed in every copy that scores 0.5."""
+    rng = random.Random(11)
+    items = [(n, item(rng, n)) for n in range(3, 9)]
+    docs = []
+    for n, words in items:
+        for start in range(3):
+            copy = [("changed" if k % 3 == start else w) for k, w in enumerate(words)]
+            docs.append((len(docs), " ".join(item(rng, 30) + copy + item(rng, 30))))
+            docs.append((len(docs), " ".join(item(rng, 30) + [x for k, w in enumerate(words) for x in ([w, "more"] if k % 2 == start % 2 else [w])])))
+    want = aligned_fully(docs, items)
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    found = D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()} == want and len(want) > 10
+
+
+def test_words_as_bytes_are_the_words():
+    known = D.WordHash()
+    for text in ("Plain ASCII_9, text-with.signs\x1f\x00!", "Größe “quoted” — naïve… ÉTÉ\u00a0x", "İstanbul ǅ ½ ² ٣ 中文，字 a\u0301b", "", None, "…"):
+        import xxhash
+        assert D.hash_words(text, known).tolist() == [xxhash.xxh64_intdigest(w.encode()) for w in D.words_of(text)]
