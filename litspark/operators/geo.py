@@ -9,6 +9,7 @@ from litspark.functions import text as T
 from litspark.functions.constants import (DENSITY_HIGH, DENSITY_LOW, DENSITY_LOW_BELOW, DENSITY_MEDIUM,
                                           DENSITY_MEDIUM_BELOW, DENSITY_NONE)
 from litspark.operators.lookup import DEFAULT_INLINE_ROWS, bounded_rows, scalar
+from litspark.operators.patterns import find_all
 from litspark.operators.stats import papers_per_affiliation
 from litspark.session import stage_table
 
@@ -43,12 +44,6 @@ def with_coordinates(df: DataFrame, gazetteer: DataFrame, col: str = "affiliatio
     return keyed.join(_gazetteer_keyed(gazetteer), "_place").drop("_place")
 
 
-def _substrings(low: Column, length: int) -> Column:
-    """Every substring of ``low`` with ``length`` characters ([] when shorter),
-    in one lookahead regex pass."""
-    return F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{length}}}))"), 1)
-
-
 def contains_matches(df: DataFrame, text_col: str, names: DataFrame,
                      max_inline: int = DEFAULT_INLINE_ROWS) -> DataFrame:
     """Rows of ``df`` paired with every name whose lower-case form is a substring of
@@ -56,24 +51,20 @@ def contains_matches(df: DataFrame, text_col: str, names: DataFrame,
     empty name matches every non-null text; null names and texts match nothing.
 
     Up to ``max_inline`` names are a literal array and matching is a narrow
-    projection. More names are equi-joined to the substrings of each name length
-    (lengths of the lower-cased names); the rows are the same, whichever way.
+    projection. More names are found by an automaton in one pass over each text
+    (``patterns.find_all``); the rows are the same, whichever way.
     """
     distinct_names = names.select(F.col(names.columns[0]).alias("name")).filter(
         F.col("name").isNotNull()).distinct()
-    low = F.lower(F.col(text_col))
     rows = bounded_rows(distinct_names, max_inline)
-    if rows is not None:
-        if not rows:
-            return df.withColumn("name", F.lit("")).limit(0)
-        pairs = F.array(*[F.struct(F.lit(r[0]).alias("name"), F.lower(F.lit(r[0])).alias("low")) for r in rows])
-        return df.withColumn("_hit", F.explode(F.filter(pairs, lambda n: low.contains(n["low"])))).withColumn(
-            "name", F.col("_hit.name")).drop("_hit")
-    keyed = distinct_names.select("name", F.lower("name").alias("_sub"))
-    lengths = [r[0] for r in keyed.select(F.length("_sub").alias("l")).distinct().orderBy("l").collect()]
-    subs = [F.when(low.isNotNull(), F.array(F.lit(""))) if n == 0 else _substrings(low, n) for n in lengths]
-    exploded = df.withColumn("_sub", F.explode(F.array_distinct(F.flatten(F.array(*subs)))))
-    return exploded.join(keyed, "_sub").drop("_sub")
+    if rows is None:
+        return find_all(df, text_col, distinct_names)
+    if not rows:
+        return df.withColumn("name", F.lit("")).limit(0)
+    low = F.lower(F.col(text_col))
+    pairs = F.array(*[F.struct(F.lit(r[0]).alias("name"), F.lower(F.lit(r[0])).alias("low")) for r in rows])
+    return df.withColumn("_hit", F.explode(F.filter(pairs, lambda n: low.contains(n["low"])))).withColumn(
+        "name", F.col("_hit.name")).drop("_hit")
 
 
 def country_paper_count(df: DataFrame, countries: DataFrame, country_col: str = "country",

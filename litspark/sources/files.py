@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from litspark.sources.csv_records import csv_records
+
 PAPERS_CSV_SCHEMA = T.StructType([
     T.StructField("title", T.StringType()),
     T.StructField("affiliation", T.StringType()),
@@ -21,15 +23,16 @@ _NO_NULL_TOKEN = "\u0000"
 
 def read_papers_csv(spark: SparkSession, path: str, schema: T.StructType = PAPERS_CSV_SCHEMA,
                     bad_lines: str = "error") -> DataFrame:
-    """CSV with a header; quoted fields may hold newlines and doubled quotes.
+    """CSV with a header; quoted fields may hold newlines and doubled quotes. A file is read
+    in as many tasks as its size asks for (``csv_records``).
 
     A line with fewer fields than the schema is kept (missing fields null), as a
     pandas reader does. A line with more fields fails the read (``bad_lines="error"``,
     the default) or is left out (``bad_lines="skip"``).
     """
     wide = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    raw = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
-           .schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    options = {"escape": '"', "quote": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    raw = csv_records(spark, path).select(F.from_csv("record", wide.simpleString()[7:-1].replace(":", " "), options).alias("r")).select("r.*")
     # Re-parse a malformed line with one more column than the schema: if that
     # column is filled, the line had too many fields.
     probe = ", ".join(f"_c{i} string" for i in range(len(schema.fields) + 1))
@@ -174,3 +177,27 @@ def read_geojson_features(spark: SparkSession, path: str) -> DataFrame:
     """Feature collection file(s) → one row per feature with its ``country`` name."""
     fc = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path)
     return fc.select(F.explode("features").alias("f")).select(F.col("f.properties.name").alias("country"))
+
+
+GEOJSON_SHAPES = T.StructType([
+    T.StructField("features", T.ArrayType(T.StructType([
+        T.StructField("properties", T.StructType([T.StructField("name", T.StringType())])),
+        # the nesting of the coordinates depends on the type: captured as JSON text
+        T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
+    ]))),
+])
+
+
+def read_geojson_rings(spark: SparkSession, path: str) -> DataFrame:
+    """Feature collection file(s) → one row per ring: (country, polygon, ring, points). Ring 0 of a
+    polygon is its outline, others are holes; points are (longitude, latitude) pairs. Features without
+    a Polygon or MultiPolygon have no rows."""
+    fc = spark.read.schema(GEOJSON_SHAPES).option("multiLine", True).json(path)
+    shape = fc.select(F.explode("features").alias("f")).select(
+        F.col("f.properties.name").alias("country"), F.col("f.geometry.type").alias("type"),
+        F.col("f.geometry.coordinates").alias("coordinates"))
+    one, many = "array<array<array<double>>>", "array<array<array<array<double>>>>"
+    polygons = (F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", one)))
+                .when(F.col("type") == "MultiPolygon", F.from_json("coordinates", many)))
+    rings = shape.select("country", F.posexplode(polygons).alias("polygon", "_rings"))
+    return rings.select("country", "polygon", F.posexplode("_rings").alias("ring", "points"))

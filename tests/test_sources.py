@@ -151,3 +151,42 @@ def test_html_abstract_is_the_first_paragraph_with_text(spark):
     pages = spark.createDataFrame([(i, f"<article><h1>h</h1>{b}</article>") for i, b in enumerate(bodies)], "page_id long, html string")
     got = [r["Abstract"] for r in html.extract_cards(pages).orderBy("page_id").collect()]
     assert got == ["inline & more", "up to a block", "to the end", "No abstract"]
+
+
+def tricky_csv(n):
+    """Records with quoted line ends, doubled quotes, stray quotes, empty lines and empty fields."""
+    import random
+    rng = random.Random(n)
+    pieces = ["plain", 'say ""so""', "line\nbreak", "a,b", "", '""', "é\n\n", 'end""', "\n"]
+    rows = ["title,affiliation,year,abstract"]
+    for i in range(n):
+        quoted = ['"' + "".join(rng.choices(pieces, k=rng.randint(0, 6))) + '"' for _ in range(2)]
+        rows.append(rng.choice([f'{quoted[0]},u{i},{2000 + i % 20},{quoted[1]}', f'pl"ain{i},it"s,2020,x"y"', f"{quoted[0]},short{i}",
+                                f'"t{i}",,2001,"' + "long text\n" * rng.randint(0, 40) + '"', ""]))
+    return "\n".join(rows) + "\n"
+
+
+@pytest.mark.parametrize("split", [64, 301, 5000, 1 << 20])
+def test_csv_in_many_splits_is_the_multi_line_reader(spark, tmpdir_path, split):
+    """One file in many tasks has the rows of Spark's one-task reader, wherever the splits fall."""
+    from collections import Counter
+    write(f"{tmpdir_path}/one/p.csv", tricky_csv(400))
+    write(f"{tmpdir_path}/one/q.csv", tricky_csv(3))
+    wide = "title string, affiliation string, year int, abstract string"
+    want = (spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(wide).csv(f"{tmpdir_path}/one"))
+    keys = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        from litspark.sources.csv_records import _lines
+        assert (_lines(spark, f"{tmpdir_path}/one").rdd.getNumPartitions() > 20) == (split < 1000)
+        got = files.read_papers_csv(spark, f"{tmpdir_path}/one").collect()
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, want.collect()))
+
+
+def test_csv_line_ends_with_carriage_returns(spark, tmpdir_path):
+    write(f"{tmpdir_path}/p.csv", 'title,affiliation,year,abstract\r\n"a",b,2020,"x"\r\n\r\nc,d,2021,e\r\n')
+    assert sorted(map(tuple, files.read_papers_csv(spark, tmpdir_path).collect())) == [("a", "b", 2020, "x"), ("c", "d", 2021, "e")]
