@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from litspark import fixtures
 from litspark.functions.constants import RELEVANCE_KEYWORDS
 from litspark.operators import flatten
 from litspark.plans import sqlparts as S
 from litspark.plans.queries import register
-from litspark.sources import files, html
+from litspark.sources import files, html, html_tree
 
 # Keyword lists for the relevance filter: the default topic keywords (none of
 # which occur in the synthetic prose) plus two phrases that do.
@@ -109,3 +111,23 @@ def q_html_cards_first_n(spark, sf_dir):
     (page, card) order. Every page is still parsed; only the output is capped."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return html.extract_cards(pages, limit=FIRST_CARDS)
+
+
+# --------------------------------------------------------------------------
+# Element tree
+# --------------------------------------------------------------------------
+
+@register("html_tree_cards", _cards_sql("pages", BASE_URL))
+def q_html_tree_cards(spark, sf_dir):
+    """The same cards, read off each page's element tree."""
+    return html_tree.extract_cards(spark.read.parquet(f"{sf_dir}/pages.parquet"), base_url=BASE_URL)
+
+
+@register("html_tag_counts",
+          "WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), "
+          "'(?s)(<script[^>]*>|<style[^>]*>).*?</(script|style)>', '\\1', 'g') AS h FROM pages), "
+          "tags AS (SELECT page_id, unnest(regexp_extract_all(h, '<([a-z][a-z0-9]*)', 1)) AS tag FROM bare) "
+          "SELECT tag, count(*) AS n_elements, count(DISTINCT page_id) AS n_pages FROM tags GROUP BY tag")
+def q_html_tag_counts(spark, sf_dir):
+    found = html_tree.elements(html_tree.parse_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return found.groupBy("tag").agg(F.count("*").alias("n_elements"), F.countDistinct("page_id").alias("n_pages"))

@@ -16,9 +16,12 @@ ARTICLE_FIELDS = {
     "source": r"(?s)<cite[^>]*>(.*?)</cite>",
     "year": r"(?s)<time[^>]*>(.*?)</time>",
     # a paragraph runs to its closing tag, the next block element or the card's end
-    "abstract": r"(?s)<p\b[^>]*>(.*?)(?=</?p\b|</?(?:div|h[1-6]|ul|ol|table|section|article|footer|header)\b|$)",
+    "abstract": r"<p\b[^>]*>([^<]*+(?:<(?!/?(?:p|div|h[1-6]|ul|ol|table|section|article|footer|header)\b)[^<]*+)*+)",
 }
 
+#: Something other than tags and white space.
+VISIBLE = r"(?sU)\A(?:<[^>]*>|\s++)*+."
+
 
 def _text(c):
     """Visible text of a fragment: tags removed, entities decoded, trimmed."""
@@ -38,14 +41,16 @@ def extract_cards(pages: DataFrame, html_col: str = "html", id_col: str = "page_
     pats = fields or ARTICLE_FIELDS
     cards = pages.select(id_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(card_pattern), 1))
                          .alias("card_no", "_card"))
+    # each step is a projection of its own, so no field is computed twice
+    for step in (lambda name: F.try_element_at(F.filter(F.regexp_extract_all("_card", F.lit(pats[name]), 1),
+                                                        lambda m: m.rlike(VISIBLE)), F.lit(1)),
+                 lambda name: _text(F.col(f"_{name}"))):
+        kept = [c for c in cards.columns if not c.startswith("_") or c == "_card"]
+        cards = cards.select(*kept, *[step(name).alias(f"_{name}") for name in CARD_DEFAULTS if name in pats])
 
     def field(name):
-        if name not in pats:
-            return F.lit(CARD_DEFAULTS[name])
-        found = F.filter(F.regexp_extract_all(F.col("_card"), F.lit(pats[name]), 1),
-                         lambda m: F.length(T.unicode_trim(T.strip_tags(m))) > 0)
-        raw = _text(F.try_element_at(found, F.lit(1)))
-        return F.coalesce(F.nullif(raw, F.lit("")), F.lit(CARD_DEFAULTS[name]))
+        default = F.lit(CARD_DEFAULTS[name])
+        return F.coalesce(F.nullif(F.col(f"_{name}"), F.lit("")), default) if name in pats else default
 
     out = cards.select(
         id_col, "card_no",

@@ -190,3 +190,45 @@ def test_csv_in_many_splits_is_the_multi_line_reader(spark, tmpdir_path, split):
 def test_csv_line_ends_with_carriage_returns(spark, tmpdir_path):
     write(f"{tmpdir_path}/p.csv", 'title,affiliation,year,abstract\r\n"a",b,2020,"x"\r\n\r\nc,d,2021,e\r\n')
     assert sorted(map(tuple, files.read_papers_csv(spark, tmpdir_path).collect())) == [("a", "b", 2020, "x"), ("c", "d", 2021, "e")]
+
+
+# ---- element tree ---------------------------------------------------------
+
+TREE_PAGE = ('<!DOCTYPE html><body><!-- <article><h1>no</h1> --><script>var a = "<article>";</script>'
+             '<article class="card  wide" data-x="a > b"><h1>Outer &amp; <i>first</i></h1><a href="/o?a=1&amp;b=2">x</a>'
+             '<p> <p>One<br>line <div><article class="card"><h1></h1><h1>Inner</h1><p>Deep</article></div><time>2020</time></article>'
+             '<ul><li>a<li>b<ul><li>c</ul></ul></div>stray<img alt="x"/><p>open')
+
+
+def test_element_tree():
+    from litspark.sources.html_tree import parse
+    text, found = parse(TREE_PAGE)
+    shown = [(e["tag"], e["depth"], e["parent"], e["last"], text[e["start"]:e["end"]]) for e in found]
+    assert [s[0] for s in shown] == ["body", "script", "article", "h1", "i", "a", "p", "p", "br", "div", "article", "h1", "h1", "p", "time",
+                                     "ul", "li", "li", "ul", "li", "img", "p"]
+    assert found[2]["attrs"] == {"class": "card  wide", "data-x": "a > b"} and found[5]["attrs"]["href"] == "/o?a=1&b=2"
+    assert shown[3][4] == "Outer & first" and shown[7][3:] == (8, "Oneline ") and shown[10][1:4] == (3, 9, 13)
+    assert shown[2][3] == 14 and shown[17][3] == 19 and shown[17][4] == "bc" and shown[21][4] == "open" and found[0]["last"] == 21
+    for n, e in enumerate(found):  # nested ranges
+        assert e["parent"] < n <= e["last"] and all(found[k]["last"] <= e["last"] for k in range(n, e["last"] + 1))
+        assert e["depth"] == (found[e["parent"]]["depth"] + 1 if e["parent"] >= 0 else 0)
+
+
+def test_cards_of_nested_articles_and_selectors(spark):
+    from litspark.sources import html_tree
+    pages = spark.createDataFrame([(1, TREE_PAGE), (2, None), (3, ""), (4, "<p>no card < here")], "page_id long, html string")
+    rows = [tuple(r) for r in html_tree.extract_cards(pages, base_url="https://x").orderBy("page_id", "card_no").collect()]
+    assert rows == [(1, 0, "Outer & first", "Oneline", "https://x/o?a=1&b=2", "2020"), (1, 1, "Inner", "Deep", "https://xNo URL", "No year")]
+    wide = html_tree.extract_cards(pages, card="article.card.wide", fields={"title": ("i", None), "year": (".none", None)}).collect()
+    assert [tuple(r)[2:] for r in wide] == [("first", "No abstract", "No URL", "No year")]
+    listed = html_tree.elements(html_tree.parse_pages(pages)).where("tag = 'li'").orderBy("node").collect()
+    assert [(r["text"], r["depth"]) for r in listed] == [("a", 2), ("bc", 2), ("c", 4)]
+
+
+def test_tree_of_a_deep_and_a_long_page():
+    from litspark.sources.html_tree import parse
+    text, found = parse("<b>" * 3000 + "x" + "</b>" * 3000)
+    assert len(found) == 3000 and found[-1]["depth"] == 2999 and all(e["last"] == 2999 for e in found)
+    text, found = parse("<li>item" * 20_000)
+    assert len(found) == 20_000 and {e["depth"] for e in found} == {0} and text == "item" * 20_000
+    assert parse("<div " * 5000 + '"unclosed')[1] == []
