@@ -9,12 +9,15 @@ the key, the kind, the round and the other half as round function:
   the characters of one half at a time;
 * over integers below a * b, adding modulo a and b in turn (dates, SSNs).
 
-Each is used as  decrypt(encrypt(x) + 1),  which is again a permutation and has
-no fixed point: no value is ever its own pseudonym.
+Each is used as  decrypt(encrypt(x) + 1),  where the 1 is added to the whole value
+with its carries. That is again a permutation, without a fixed point and with one cycle
+over all values of the format: no value is ever its own pseudonym, and taking
+pseudonyms of pseudonyms comes back only after all of them. A string of one character
+has no other half; it goes to the next character in an order that the key decides.
 
 Kinds and what is kept: e-mail addresses (domain and punctuation), telephone
-numbers (punctuation and, where it is set off, the country code; of one in
-E.164 form without separators the first digit), IPv4 addresses (four octets below 256),
+numbers (punctuation and the international calling code, or the leading zero of one in
+pairs; so a number has one pseudonym in all these notations), IPv4 addresses (four octets below 256),
 card and account numbers of 13 to 19 digits (separators; a number that passes
 the Luhn check still does, one that fails keeps its difference), IBANs with
 right check digits (country, length, valid check digits), US social security
@@ -30,6 +33,7 @@ punctuation or stand at either end of the text; other columns are unchanged.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +49,8 @@ ALNUM = DIGITS + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: 400 Gregorian years are 146,097 days = 189 * 773.
 DAYS_A, DAYS_B = 189, 773
+# FIXED VALUES — international calling codes: one digit, two digits, any other three.
+CALLING_CODE = r"\+(?:[17]|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 FIRST_DAY, LAST_DAY = "1800-01-01", "2199-12-31"
 #: Valid social security numbers: 898 areas, 99 groups, 9,999 serials.
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
@@ -114,14 +120,23 @@ def permute_string(value: Column, alphabet: str, key: str, kind: str) -> Column:
 
     def turn(s: Column, step: Column) -> Column:
         right = step["r"] % 2 == 0
-        next_last = F.substring(letters, F.pmod(F.instr(letters, F.substring(s["r"], F.length(s["r"]), one)), F.lit(base)) + 1, one)
-        bumped = F.concat(F.substring(s["r"], one, F.length(s["r"]) - 1), next_last)
         new = shifted(F.when(right, s["r"]).otherwise(s["l"]), F.when(right, s["l"]).otherwise(s["r"]), step)
-        return F.when(step["r"] < 0, F.struct(s["l"].alias("l"), bumped.alias("r"))).otherwise(
+        bumped = let(_successor(F.concat(s["l"], s["r"]), alphabet), lambda v: F.struct(
+            F.substring(v, one, F.length(s["l"])).alias("l"), F.substring(v, F.length(s["l"]) + 1, F.length(v)).alias("r")))
+        return F.when(step["r"] < 0, bumped).otherwise(
             let(new, lambda n: F.struct(F.when(right, s["l"]).otherwise(n).alias("l"), F.when(right, n).otherwise(s["r"]).alias("r"))))
 
-    return F.when(F.length(value) == 0, value).otherwise(
-        F.aggregate(_schedule(), start, turn, lambda s: F.concat(s["l"], s["r"])))
+    order = "".join(sorted(alphabet, key=lambda c: hashlib.sha512(f"{key}|{kind}|{c}|{key}".encode()).digest()))
+    return (F.when(F.length(value) == 0, value).when(F.length(value) == 1, F.translate(value, order, order[1:] + order[:1]))
+            .otherwise(F.aggregate(_schedule(), start, turn, lambda s: F.concat(s["l"], s["r"]))))
+
+
+def _successor(value: Column, alphabet: str) -> Column:
+    """The next string of that length in the order of ``alphabet``; the first one after the last."""
+    body = F.rtrim(value, F.lit(alphabet[-1]))
+    zeros = F.repeat(F.lit(alphabet[0]), F.length(value) - F.length(body))
+    last = F.translate(F.substring(body, F.length(body), F.lit(1)), alphabet, alphabet[1:] + alphabet[:1])
+    return F.when(F.length(body) == 0, zeros).otherwise(F.concat(F.substring(body, F.lit(1), F.length(body) - 1), last, zeros))
 
 
 def permute_integer(value: Column, a: int, b: int, key: str, kind: str) -> Column:
@@ -170,7 +185,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    country = F.when(m.rlike(r"^\+\d{7,15}$"), F.substring(m, 1, 2)).otherwise(F.regexp_extract(m, r"^\+\d{1,3}[ .-]?", 0))
+    country = F.regexp_extract(m, rf"^(?:{CALLING_CODE}[ .-]?(?:\(0\)[ .-]?)?|0(?=\d(?:[ .-]\d{{2}}){{4}}$))", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
     return F.concat(country, refill(rest, "[0-9]", permute_string(only(rest, "[^0-9]"), DIGITS, key, "phone")))
 

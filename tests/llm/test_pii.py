@@ -158,3 +158,42 @@ def test_messy_rows_and_plan(messy, nothing):
     assert pii.pseudonymise(nothing, KEY).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan.replace("Exchange RoundRobin", "")
+
+
+@pytest.mark.parametrize("alphabet", [pii.DIGITS, pii.ALNUM])
+def test_pseudonyms_of_pseudonyms_do_not_come_back(spark, alphabet):
+    values = [alphabet[-1] * 6, alphabet[0] * 5, alphabet[:7], alphabet[-2:]]
+    df = spark.createDataFrame([(v, v) for v in values], "x string, y string")
+    for step in range(1, 17):
+        df = spark.createDataFrame(df.select("x", pii.permute_string(F.col("y"), alphabet, KEY, "t").alias("y")).collect(), "x string, y string")
+        if step in (1, 2, 8, 10, 16):
+            assert all(r["x"] != r["y"] for r in df.collect()), step
+
+
+def test_strings_have_one_cycle(spark):
+    df = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("x"))
+    step = dict(map(tuple, df.select("x", pii.permute_string(F.col("x"), pii.DIGITS, KEY, "t")).collect()))
+    value, seen = "00", set()
+    while value not in seen:
+        seen.add(value)
+        value = step[value]
+    assert len(seen) == 100
+
+
+def test_one_character_depends_on_the_key(spark):
+    df = spark.createDataFrame([(c,) for c in pii.ALNUM], "x string")
+    maps = [dict(map(tuple, df.select("x", pii.permute_string(F.col("x"), pii.ALNUM, key, "email")).collect())) for key in ("one", "two")]
+    assert all(sorted(m) == sorted(m.values()) and all(a != b for a, b in m.items()) for m in maps)
+    assert sum(maps[0][c] != maps[1][c] for c in pii.ALNUM) > 50
+    assert masked(spark, ["write to j@x.org"])[0][0].endswith("@x.org")
+
+
+def test_one_number_in_several_notations_is_linked_and_keeps_its_kind(spark):
+    forms = ["+33123456789", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+33.1.23.45.67.89", "01 23 45 67 89", "+1 415-555-2671", "+14155552671",
+             "+44 20 7946 0958", "+442079460958"]
+    new, found = masked(spark, forms)
+    assert found == [[f] for f in forms]
+    digits = [re.sub("[^0-9]", "", n) for n in new]
+    assert digits[0] == digits[1] == digits[3] and digits[2] == digits[0][:2] + "0" + digits[0][2:] and digits[4] == "0" + digits[0][2:]
+    assert digits[5] == digits[6] and digits[7] == digits[8] and digits[0] != "33123456789"
+    assert masked(spark, new)[1] == [[n] for n in new]
