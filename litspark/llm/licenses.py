@@ -26,6 +26,8 @@ identifiers that no rule uses are reported as ``unmatched``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +122,10 @@ OFFICIAL = {
     "the asf licenses this file to you under the apache license version 2 0 the license": "ApacheRef",
     "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
     "provided that the above copyright notice and this permission notice appear in all copies": "IscGrant",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
-    "products derived from this software without specific prior written permission": "BsdNames",
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from "
+    "this software without specific prior written permission": "BsdNames",
+    "the name of * may not be used to endorse or promote products derived from this software without specific prior "
+    "written permission": "BsdNames",
     "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
     "public license as published by the free software foundation either version 2 1 of the license or at your option "
     "any later version": "Lgpl21Plus",
@@ -133,8 +137,34 @@ OFFICIAL = {
     for name in ("this program", "this library")
     for kind, version, found in (("", "2", "Gpl2Plus"), ("", "3", "Gpl3Plus"), ("lesser ", "3", "Lgpl3Plus"), ("affero ", "3", "Agpl3Plus"))
 }
+#: Titles of whole licence texts, and headers that name one version only.
+OFFICIAL |= {
+    "apache license version 2 0 january 2004": "Apache2Title",
+    "gnu general public license version 2 june 1991": "Gpl2Title",
+    "gnu general public license version 3 29 june 2007": "Gpl3Title",
+    "gnu lesser general public license version 2 1 february 1999": "Lgpl21Title",
+    "gnu lesser general public license version 3 29 june 2007": "Lgpl3Title",
+    "gnu affero general public license version 3 19 november 2007": "Agpl3Title",
+    "mozilla public license version 2 0 1 definitions": "Mpl2Title",
+    "eclipse public license v 2 0 the accompanying program is provided": "Epl2Title",
+} | {
+    f"{lead} as published by the free software foundation": f"Gpl{v}Only" for v in (2, 3)
+    for lead in (f"the gnu general public license version {v} only", f"the gnu general public license version {v}",
+                 f"version {v} of the gnu general public license", f"the gnu general public license version {v} of the license only")
+}
 #: Before ``RULES``.
 OFFICIAL_RULES = [
+    ("Apache-2.0", ("Apache2Title",)),
+    ("GPL-2.0-only", ("Gpl2Title",)),
+    ("GPL-3.0-only", ("Gpl3Title",)),
+    ("LGPL-2.1-only", ("Lgpl21Title",)),
+    ("LGPL-3.0-only", ("Lgpl3Title",)),
+    ("AGPL-3.0-only", ("Agpl3Title",)),
+    ("MPL-2.0", ("Mpl2Title",)),
+    ("EPL-2.0", ("Epl2Title",)),
+    ("GPL-2.0-only", ("Gpl2Only",)),
+    ("GPL-3.0-only", ("Gpl3Only",)),
+    ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "AllRights", "BsdNames")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdNames")),
     ("Apache-2.0", ("ApacheAsf", "ApacheRef", "ApacheUse", "ApacheCopy")),
     ("Apache-2.0", ("ApacheAsf", "ApacheRef", "ApacheUse")),
@@ -144,6 +174,9 @@ OFFICIAL_RULES = [
 ]
 #: Sentences of the table from this many words on are found as runs of words too.
 RUN_WORDS = 10
+#: A ``*`` in a run stands for one to this many words.
+ANY_WORDS = 15
+SPDX = r"(?i)\bSPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+)"
 #: What may stand between two words of a run.
 BETWEEN = r"[^\p{L}\p{N}]{1,80}"
 #: A comment's leader at the start of a line, and a line of a comment that goes on in the next.
@@ -181,11 +214,18 @@ def runs() -> dict[str, str]:
     return dict(sorted(both.items(), key=lambda x: -len(x[0])))
 
 
+ANY = rf"[\p{{L}}\p{{N}}]+(?:{BETWEEN}[\p{{L}}\p{{N}}]+){{0,{ANY_WORDS - 1}}}?"
+
+
+def spdx_sentence(licence: str) -> str:
+    return "run of words spdx " + re.sub("[^a-z0-9]+", " ", licence.lower()).strip()
+
+
 def marked_text(text: Column) -> Column:
-    """The text with every known run of words as a line of its own, and wrapped comments joined."""
-    out = text
+    """The text with every known run of words and SPDX identifier as a line of its own, and wrapped comments joined."""
+    out = F.regexp_replace(text, SPDX, ".\nrun of words spdx $1\n")
     for sentence, found in runs().items():
-        words = sentence.split()
+        words = [ANY if w == "*" else w for w in sentence.split()]
         pattern = r"(?i)(?<![\p{L}\p{N}])" + BETWEEN.join(words) + r"(?![\p{L}\p{N}])"
         out = F.regexp_replace(out, pattern, f".\nrun of words {found.lower()}.\n")
     out = F.regexp_replace(out, LEADER, "\x01")
@@ -203,7 +243,8 @@ def sentences(text: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licences, unmatched) of every document with a known sentence."""
-    table = sentence_table() | {f"run of words {i.lower()}": i for i in runs().values()}
+    named = dict.fromkeys(licence for licence, _ in OFFICIAL_RULES + rules() if licence[0].isupper())
+    table = sentence_table() | {f"run of words {i.lower()}": i for i in runs().values()} | {spdx_sentence(x): f"Spdx{x}" for x in named}
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     text = F.col(text_col).cast("string")
     found = (docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -212,7 +253,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                                         lambda x: x.isNotNull()).alias("ids"))
              .where(F.size("ids") > 0))
     rest = F.concat(F.lit("<"), F.array_join("ids", "><"), F.lit(">"))
-    for licence, ids in OFFICIAL_RULES + rules():
+    for licence, ids in OFFICIAL_RULES + rules() + [(x, (f"Spdx{x}",)) for x in named]:
         rest = F.replace(rest, F.lit("<" + "><".join(ids) + ">"), F.lit(f"[{licence}]"))
     marked = found.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"),
                           rest.alias("rest"))

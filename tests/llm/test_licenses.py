@@ -117,3 +117,32 @@ def test_official_headers_plain_and_in_comments(spark):
 def test_a_run_of_words_keeps_its_place_and_its_bounds(spark):
     got = scan(spark, ["All rights reserved.\n" + APACHE + "\nReleased under the MIT License.", "word " + GPL.format(mark=":", mark2=",", version=30)])
     assert got[0]["sentence_ids"] == "AllRights,ApacheRef,ApacheUse,ApacheCopy,MitRef" and 1 not in got
+
+
+def owned(owner):
+    return BSD.format("1. ", "2. ", BSD_NAMES.format("3. ").replace("the copyright holder", owner))
+
+
+def test_owners_titles_identifiers_and_single_versions(spark):
+    only = "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as\n * published by the Free Software Foundation."
+    cases = [("BSD-3-Clause", owned("Google Inc.")), ("BSD-3-Clause", owned("the <organization>")), ("BSD-3-Clause", commented(owned("Ábc, Ltd."), "# ")),
+             ("BSD-3-Clause", BSD.format("1. ", "2. ", "3. The name of the author may not be used to endorse or promote products\n   derived from this "
+                                         "software without specific prior written permission.\n")),
+             ("MIT", "// SPDX-License-Identifier: MIT\nint main() { return 0; }"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+             ("GPL-2.0-only", "/* SPDX-License-Identifier: GPL-2.0-only */"), ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+             ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n"
+                            "                        http://www.apache.org/licenses/\n"),
+             ("GPL-3.0-only", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n"),
+             ("GPL-2.0-only", "\t\t    GNU GENERAL PUBLIC LICENSE\n\t\t       Version 2, June 1991\n"),
+             ("AGPL-3.0-only", "GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007\n"),
+             ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n"),
+             ("GPL-2.0-only", "/*\n * This program is free software; " + only + "\n */")]
+    got = scan(spark, [text for _, text in cases])
+    assert {i: (got[i]["licences"], got[i]["unmatched"]) if i in got else None for i in range(len(cases))} == {
+        i: (name, "") for i, (name, _) in enumerate(cases)}
+
+
+def test_a_name_far_away_is_no_owner(spark):
+    far = BSD_NAMES.format("").replace("the copyright holder", " ".join(f"w{i}" for i in range(30)))
+    assert scan(spark, [BSD.format("", "", far)])[0]["licences"] == "BSD-2-Clause"
+    assert 0 not in scan(spark, ["SPDX-License-Identifier: Unknown-1.0"])
