@@ -4,5 +4,5 @@ from __future__ import annotations
 
 
 def all_queries():
-    from litspark.plans import queries, queries_files, queries_model, queries_nested, queries_places  # noqa: F401  (register on import)
+    from litspark.plans import queries, queries_files, queries_landed, queries_model, queries_nested, queries_places  # noqa: F401  (register on import)
     return dict(queries.REGISTRY)

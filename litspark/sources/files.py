@@ -86,16 +86,16 @@ def relative_name(spark: SparkSession, uri: Column, base: str) -> Column:
     return F.when(plain.startswith(prefix), F.substring(plain, len(prefix) + 1, 1 << 30)).otherwise(plain)
 
 
-def read_json_tree(spark: SparkSession, base: str, schema: T.StructType = RECORD_SCHEMA
-                   ) -> tuple[DataFrame, DataFrame]:
-    """All ``*.json`` files below ``base`` (any depth), one object per file.
+def read_json_tree(spark: SparkSession, base: str, schema: T.StructType = RECORD_SCHEMA,
+                   glob: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """All files named like ``glob`` below ``base`` (any depth), one object per file.
 
     Returns (records, rejects): records carry ``filename`` relative to
     ``base``; rejects are the files that did not parse.
     """
     with_corrupt = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
     raw = (spark.read.schema(with_corrupt).option("multiLine", True)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+           .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(base))
     raw = raw.withColumn("filename", relative_name(spark, F.col("_metadata.file_path"), base))
     bad = F.col(CORRUPT).isNotNull()
