@@ -211,7 +211,7 @@ def keep_one(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: in
     groups = near_duplicates(docs, words_per_shingle, radius, id_col=id_col, text_col=text_col)
     keepers = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # where no row of a component has an id, or two rows share it, the smallest fingerprint stays
-    mark, key = "__near_key", F.concat_ws("/", F.coalesce(F.col("component_id").cast("string"), F.lit("-")), F.col("fp"))
+    mark, key = common.free_name(docs, "near_key"), F.concat_ws("/", F.coalesce(F.col("component_id").cast("string"), F.lit("-")), F.col("fp"))
     keepers = (keepers.groupBy("root", "component_id").agg(F.min("fp").alias("fp")).select(key.alias(mark)).distinct())
     ids, texts = docs.columns.index(id_col), docs.columns.index(text_col)
 

@@ -108,3 +108,10 @@ def test_components_of_a_chain_a_star_and_nothing(spark):
     got = {r["vertex"]: r["root"] for r in out.collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 150)}, 200: 100}
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_column_named_like_the_key_is_kept(spark):
+    from litspark.llm.simhash import keep_one
+    docs = spark.createDataFrame([(1, "same text here now", 5, 6), (2, "same text here now", 5, 6), (3, "another one altogether", 5, 6)],
+                                 "doc_id long, text string, near_key int, _near_key int")
+    assert sorted(tuple(r) for r in keep_one(docs).collect()) == [(1, "same text here now", 5, 6), (3, "another one altogether", 5, 6)]
