@@ -47,8 +47,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written as Parquet to the
-    shared folder and read again as the next one's documents."""
-    docs = common.documents(spark, sf_dir)
+    shared folder and read again as the next one's documents. A stage's table is
+    removed once the next one is written; the last, which the result reads, stays."""
+    docs, path = common.documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = stage(spark, docs, sf_dir)
+        written = common.write_scratch(kept, f"pipeline-{name}")
+        docs = spark.read.schema(kept.schema).parquet(written)
+        if path:
+            common.remove(spark, path)
+        path = written
     return STAGES[-1][1](spark, docs, sf_dir)

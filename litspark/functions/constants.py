@@ -67,9 +67,6 @@ CARD_DEFAULTS = {
     "abstract": "No abstract",
 }
 
-# FIXED VALUES — result cap of the HTML result-card source.
-CARD_LIMIT = 1000
-
 # FIXED VALUES — prompt text used to ask for a topic label.
 LABEL_PROMPT_PREFIX = (
     "Based on the following keywords, create a concise, descriptive label that "

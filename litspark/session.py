@@ -104,9 +104,3 @@ def drop_staged(spark: SparkSession) -> None:
     while _staged:
         target = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
