@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from litspark import fixtures
 from litspark.functions.constants import COHERENCE_EPSILON, COHERENCE_WINDOW, FINAL_PASSES, K_SWEEP, SWEEP_PASSES
 from litspark.operators import coherence, lang, topics
-from litspark.operators.lookup import local_table
 from litspark.plans import sqlparts as S
 from litspark.plans import stages
 from litspark.plans.queries import register
@@ -67,12 +66,33 @@ def q_coherence_cv(spark, sf_dir):
     "SELECT term, tf, row_number() OVER (ORDER BY tf DESC, term) - 1 AS position FROM v"))
 def q_lda_vocabulary(spark, sf_dir):
     """The terms a topic model is fitted on, in its order: all of them, ties by term."""
-    corpus = topics.Corpus(stages.document_tokens(spark, sf_dir))
-    try:
-        places = local_table(spark, list(enumerate(corpus.vocabulary)), [("position", "long"), ("term", "string")])
-        return places.join(topics.vocabulary(corpus.tokens), "term").select("term", "tf", "position")
-    finally:
-        corpus.release()
+    return topics.dictionary(topics.vocabulary(stages.document_tokens(spark, sf_dir)))
+
+
+@register("indexed_bags", S.with_base(
+    ", v AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS position "
+    "FROM (SELECT unnest(tokens) AS term FROM dtok) GROUP BY 1), "
+    "c AS (SELECT paper_id, term, count(*) AS n FROM (SELECT paper_id, unnest(tokens) AS term FROM dtok) GROUP BY 1, 2) "
+    "SELECT paper_id, string_agg(concat(CAST(position AS VARCHAR), ':', CAST(n AS VARCHAR)), ' ' ORDER BY position) AS bag "
+    "FROM c JOIN v USING (term) GROUP BY 1"))
+def q_indexed_bags(spark, sf_dir):
+    """Documents as bags of dictionary positions."""
+    toks = stages.document_tokens(spark, sf_dir)
+    bags = topics.indexed_bags(toks, topics.dictionary(topics.vocabulary(toks)))
+    pairs = F.zip_with("positions", "counts", lambda p, n: F.concat_ws(":", p, n))
+    return bags.select("paper_id", F.array_join(pairs, " ").alias("bag"))
+
+
+@register("topic_mixtures", S.with_base(
+    f"SELECT paper_id, {LDA_K} AS n_topics, true AS is_mixture FROM dtok WHERE len(tokens) > 0"))
+def q_topic_mixtures(spark, sf_dir):
+    """A model fitted on four fifths of the documents gives every document with a token a mixture of its topics."""
+    toks = stages.document_tokens(spark, sf_dir)
+    corpus = topics.Corpus(toks)
+    fitted = topics.fit_lda(corpus, LDA_K, SWEEP_PASSES, LDA_SEED, vectors=corpus.vectors.where("paper_id % 5 <> 0"))
+    mixed = topics.topic_mixtures(fitted, corpus.vectors)
+    whole = (F.abs(F.aggregate("mixture", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-6) & F.forall("mixture", lambda x: x >= 0)
+    return mixed.select("paper_id", F.size("mixture").alias("n_topics"), whole.alias("is_mixture"))
 
 
 @register("lda_invariants", (
@@ -84,7 +104,9 @@ def q_lda_invariants(spark, sf_dir):
     corpus = topics.Corpus(stages.document_tokens(spark, sf_dir))
     try:
         model = topics.fit_lda(corpus, LDA_K, FINAL_PASSES, LDA_SEED)
-        every = topics.topic_terms(model, corpus, len(corpus.vocabulary))
+        # stays in the JVM: no k x V rows as Python objects
+        every = model.describeTopics(len(corpus.vocabulary)).select(
+            F.col("topic").alias("topic_id"), F.posexplode("termWeights").alias("rank", "weight"))
     finally:
         corpus.release()
     before = F.lag("weight").over(Window.partitionBy("topic_id").orderBy("rank"))
