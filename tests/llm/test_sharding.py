@@ -64,3 +64,33 @@ def test_a_hot_id_gets_gapless_slots(spark):
 def test_written_shards_hold_every_row(spark, messy, tmp_path):
     S.write_shards(messy.drop("shard"), S.regular(), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == messy.count()
+
+
+def plain_shard(key, tree):
+    """The descent in plain Python: the smallest draw at every level."""
+    import math
+    import xxhash
+
+    def draw(name, weight):
+        first = xxhash.xxh64_intdigest(key.encode(), seed=42)
+        bits = xxhash.xxh64_intdigest(name.encode(), seed=first) >> 11
+        return -math.log((bits + 0.5) / (1 << 53)) / weight
+
+    def weight(node):
+        return sum(weight(x) for x in node.values()) if isinstance(node, dict) else node
+
+    def descend(node):
+        names = [k for k in node if weight(node[k]) > 0]
+        best = names[0] if len(names) == 1 else min(names, key=lambda k: draw(f"shard{k}" if isinstance(k, int) else k, weight(node[k])))
+        return descend(node[best]) if isinstance(node[best], dict) else best
+
+    return descend(tree)
+
+
+def test_draws_recomputed_in_plain_python(spark):
+    from litspark.llm import sharding
+    from pyspark.sql import functions as F
+    uneven = {"a": {"x": {0: 1.0, 1: 5.0}, "y": {2: 0.5}}, "b": {"z": {3: 2.0, 4: 0.0, 5: 1.5}}}
+    for tree in (sharding.regular(), sharding.grow(sharding.regular()), uneven):
+        rows = spark.range(-200, 1200).select("id", sharding.shard_of(F.col("id"), tree).alias("shard")).collect()
+        assert {r["id"]: r["shard"] for r in rows} == {r["id"]: plain_shard(str(r["id"]), tree) for r in rows}
