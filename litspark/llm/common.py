@@ -37,9 +37,12 @@ def write_scratch(df: DataFrame, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, lineage cut."""
+def materialise(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, lineage cut.
+    The path is added to ``paths``, for a caller that removes the table later."""
     path = write_scratch(df, name)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

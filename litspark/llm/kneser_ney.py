@@ -1,23 +1,24 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram model, perplexity quantiles.
 
-The model spells words: symbols are the characters of a white-space separated
-word and its end, contexts are the ``order - 1`` symbols before, padded at the
-word's start. Characters are folded into 4096 classes (the code point modulo
-4096), so an n-gram of up to five symbols is one long. It is trained on all
-documents labelled good, with continuation counts for the lower orders (raw
-counts where the n-gram starts a word) and three discounts per order from the
-counts of counts.
+The model spells texts: symbols are the characters of the words, one space
+between two words and an end, contexts are the ``order - 1`` symbols before,
+across words, padded at the text's start. Characters are folded into 4096
+classes (the code point modulo 4096), so an n-gram of up to five symbols is one
+long. It is trained on the documents labelled good, but for a fifth of their
+texts (by a hash of the text, so equal texts stay together), with continuation
+counts for the lower orders (raw counts where the n-gram starts a text) and
+three discounts per order from the counts of counts.
 
 Counts live in Spark tables keyed by n-gram and are never brought to one place.
-Documents are scored in chunks of one input task: a chunk asks for the distinct
-n-grams of its words, the distinct requests of all chunks are joined order by
-order to the counts (p = discounted count + backoff weight * lower order), and
-the answers are brought back to the chunks together with their documents. So
-the joins carry each n-gram once per chunk, not once per occurrence.
+Documents are scored in chunks of one input task: a chunk asks for its distinct
+n-grams, the distinct requests of all chunks are joined order by order to the
+counts (p = discounted count + backoff weight * lower order), and the answers
+are brought back to the chunks together with their documents. So the joins
+carry each n-gram once per chunk, not once per occurrence.
 
-A document's perplexity is that of its symbols, all words included. A language
-code's threshold is a quantile over its trusted documents, times a slack; a
-code without ``MIN_TRUSTED`` of them takes the threshold over all.
+A document's perplexity is that of its symbols. A language code's threshold is a
+quantile over its trusted documents held out of the counts; a code without
+``MIN_TRUSTED`` of them takes the threshold over all.
 
 ``docs`` is read twice and must give the same rows in the same partitions each
 time, as a file scan does; otherwise a chunk misses an answer and the job fails.
@@ -25,17 +26,17 @@ time, as a file scan does; otherwise a chunk misses an answer and the job fails.
 Defined cases: texts without words have no perplexity (null) and are rejected;
 null ids are scored like others; a document is trusted if all its labels are
 good; repeated rows are each scored and trained on; without trusted text every
-symbol is equally likely and all documents with words are kept; empty tables
-give an empty result.
+symbol is equally likely, and without any held out all documents with words are
+kept; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -43,52 +44,58 @@ from pyspark.sql import functions as F
 
 from litspark.llm import common
 
-ORDER = 4
+ORDER = 5
 CLASSES, SHIFT = 4096, 12
 START, END = 2, 3
-QUANTILE, SLACK, MIN_TRUSTED = 0.99, 1.1, 100
+QUANTILE, MIN_TRUSTED = 0.99, 100
+#: One in so many trusted texts is kept out of the counts and sets the thresholds.
+HELD_OUT = 5
 CHUNK_CHARS = 16_000_000
 BLOB_CHARS = 1_000_000
-TRAIN_WORDS = 400_000
+BLOCK_SYMBOLS = 4_000_000
 #: Positions of the filter that keeps the unlabelled texts out of the training join.
 FILTER_POSITIONS = 1 << 20
 
 
-def word_ngrams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, n-gram) for every symbol of every word."""
-    pad = chr(START) * (order - 1)
-    joined = pad + (chr(END) + pad).join(words) + chr(END)
-    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64) % CLASSES
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(np.append(0, lengths[:-1] + order - 1)) + order - 1
-    owner = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
-    grams = reduce(lambda total, back: (total << SHIFT) | codes[at - back], range(order - 1, -1, -1), np.zeros(len(at), np.int64))
-    return owner, grams
+def ngrams(pieces: list[str], owners: list[int], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, n-gram) for every symbol of every piece but its first ``order - 1``, the context."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64) % CLASSES
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    inside = np.ones(len(codes), bool)
+    for back in range(1, order):
+        inside[np.cumsum(lengths) - back] = False
+    windows = len(codes) - order + 1
+    grams = reduce(lambda total, at: (total << SHIFT) | codes[at:at + windows], range(order), np.zeros(windows, np.int64))
+    return np.repeat(owners, lengths - order + 1), grams[inside[:windows]]
+
+
+def gram_blocks(texts: Iterable[str | None], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, n-gram) of whole texts, in blocks of about ``BLOCK_SYMBOLS`` symbols."""
+    pieces, owners, size = [], [], 0
+    for number, text in enumerate(texts):
+        words = " ".join((text or "").split())
+        if not words:
+            continue
+        symbols = chr(START) * (order - 1) + words + chr(END)
+        for at in range(0, len(symbols) - order + 1, BLOCK_SYMBOLS):
+            pieces.append(symbols[at:at + BLOCK_SYMBOLS + order - 1])
+            owners.append(number)
+            size += len(pieces[-1])
+            if size >= BLOCK_SYMBOLS:
+                yield ngrams(pieces, owners, order)
+                pieces, owners, size = [], [], 0
+    if pieces:
+        yield ngrams(pieces, owners, order)
 
 
 def count_ngrams(texts: DataFrame, order: int) -> DataFrame:
-    """(gram, n) over ``texts(text)``; each task adds up its own words first."""
+    """(gram, n) over ``texts(text)``; each task adds up the n-grams of a block first."""
     common.bound_batches(texts.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def emit() -> pa.RecordBatch:
-            owner, grams = word_ngrams(list(seen), order)
-            weight = np.fromiter(seen.values(), np.int64, len(seen))[owner]
-            distinct, place = np.unique(grams, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(
-                np.bincount(place, weight).astype(np.int64))], names=["gram", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update((text or "").split())
-            if len(seen) > TRAIN_WORDS:
-                yield emit()
-                seen.clear()
-        if seen:
-            yield emit()
+        for _, grams in gram_blocks((text for batch in batches for text in batch.column(0).to_pylist()), order):
+            distinct, n = np.unique(grams, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n.astype(np.int64))], names=["gram", "n"])
 
     return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -112,15 +119,15 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 class Orders:
     """The count tables of every order and their discounts."""
 
-    def __init__(self, counts: DataFrame, order: int):
+    def __init__(self, counts: DataFrame, order: int, scratch: list[str] | None = None):
         self.order = order
-        self.counts = {order: common.materialise(counts, f"kn-counts-{order}")}
+        self.counts = {order: common.materialise(counts, f"kn-counts-{order}", scratch)}
         for k in range(order - 1, 0, -1):
             higher = self.counts[k + 1]
             suffix = F.col("gram").bitwiseAND(F.lit((1 << SHIFT * k) - 1))
-            starts_word = F.shiftright(suffix, SHIFT * (k - 1)) == START
-            lower = higher.select(suffix.alias("gram"), F.when(starts_word, F.col("n")).otherwise(F.lit(1)).alias("n"))
-            self.counts[k] = common.materialise(lower.groupBy("gram").agg(F.sum("n").cast("long").alias("n")), f"kn-counts-{k}")
+            starts_text = F.shiftright(suffix, SHIFT * (k - 1)) == START
+            lower = higher.select(suffix.alias("gram"), F.when(starts_text, F.col("n")).otherwise(F.lit(1)).alias("n"))
+            self.counts[k] = common.materialise(lower.groupBy("gram").agg(F.sum("n").cast("long").alias("n")), f"kn-counts-{k}", scratch)
         self.discounts = {k: self._discounts(k) for k in self.counts}
 
     def _discounts(self, k: int) -> tuple[float, float, float]:
@@ -185,19 +192,18 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 def chunk_requests(docs: DataFrame, order: int) -> DataFrame:
     """(chunk, gram): the distinct n-grams that each chunk needs."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, words = None, set()
+        current, seen = None, []
 
         def emit() -> Iterator[pa.RecordBatch]:
-            if words:
-                grams = np.unique(word_ngrams(list(words), order)[1])
+            if seen:
+                grams = np.unique(np.concatenate(seen))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), current)), pa.array(grams)], names=["chunk", "gram"])
 
         for chunk, part in _chunks(batches):
             if chunk != current:
                 yield from emit()
-                current, words = chunk, set()
-            for text in part.column("text").to_pylist():
-                words.update((text or "").split())
+                current, seen = chunk, []
+            seen.extend(pd.unique(grams) for _, grams in gram_blocks(part.column("text").to_pylist(), order))
         yield from emit()
 
     return docs.select("text").mapInArrow(ask, "chunk long, gram long")
@@ -222,54 +228,58 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 
 
 def score_chunk(documents: pa.Table, answers: pa.Table, order: int) -> pa.Table:
-    """doc_id, stratum, n_symbols, logp of a chunk's documents."""
+    """doc_id, stratum, held_out, n_symbols, logp of a chunk's documents."""
     grams, logp = answers["gram"].to_numpy(), answers["logp"].to_numpy()
     sort = np.argsort(grams)
     grams, logp = grams[sort], logp[sort]
-    known: dict[str, float] = {}
     out = []
     for blob in documents["blob"].to_pylist():
         table = pa.ipc.open_stream(blob).read_all()
-        split = [(t or "").split() for t in table["text"].to_pylist()]
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            owner, wanted = word_ngrams(new, order)
-            at = np.searchsorted(grams, wanted)
-            if at.max() >= len(grams) or (grams[at] != wanted).any():
+        symbols, total = np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows)
+        for owner, wanted in gram_blocks(table["text"].to_pylist(), order):
+            code, distinct = pd.factorize(wanted)
+            at = np.searchsorted(grams, distinct)
+            if at.max() >= len(grams) or (grams[at] != distinct).any():
                 raise RuntimeError("a chunk misses n-grams: its input changed between two reads")
-            known.update(zip(new, np.bincount(owner, logp[at], len(new)).tolist()))
-        symbols = [sum(map(len, words)) + len(words) for words in split]
-        out.append(pa.table({"doc_id": table["doc_id"], "stratum": table["stratum"], "n_symbols": pa.array(symbols, pa.int64()),
-                             "logp": pa.array([sum(map(known.__getitem__, words)) for words in split], pa.float64())}))
+            symbols += np.bincount(owner, minlength=table.num_rows)
+            total += np.bincount(owner, logp[at][code], table.num_rows)
+        out.append(pa.table({"doc_id": table["doc_id"], "stratum": table["stratum"], "held_out": table["held_out"],
+                             "n_symbols": pa.array(symbols), "logp": pa.array(total)}))
     return pa.concat_tables(out)
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text",
-                 lang_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, n_symbols, perplexity) of every document."""
+                 lang_col: str = "lang", scratch: list[str] | None = None) -> DataFrame:
+    """(doc_id, stratum, held_out, n_symbols, perplexity) of every document. The paths of the
+    tables that the result reads are added to ``scratch``."""
     common.bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        common.language_stratum(F.col(lang_col)).alias("stratum"))
-    model = Orders(count_ngrams(trusted_texts(docs, labels), order), order)
-    requests = common.materialise(chunk_requests(docs, order), "kn-requests")
+    docs = docs.withColumn("held_out", F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0)
+    model = Orders(count_ngrams(trusted_texts(docs.where("NOT held_out"), labels), order), order, scratch)
+    requests = common.materialise(chunk_requests(docs, order), "kn-requests", scratch)
     answers = common.materialise(requests.join(model.probabilities(requests.select("gram").distinct()), "gram")
-                                 .select("chunk", "gram", "logp"), "kn-answers")
+                                 .select("chunk", "gram", "logp"), "kn-answers", scratch)
     scored = chunk_documents(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda left, right: score_chunk(left, right, order), "doc_id long, stratum string, n_symbols long, logp double")
-    return scored.select("doc_id", "stratum", "n_symbols",
+        lambda left, right: score_chunk(left, right, order),
+        "doc_id long, stratum string, held_out boolean, n_symbols long, logp double")
+    return scored.select("doc_id", "stratum", "held_out", "n_symbols",
                          F.when(F.col("n_symbols") > 0, F.exp(-F.col("logp") / F.col("n_symbols"))).alias("perplexity"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK,
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, stratum, n_symbols, perplexity, threshold, kept)."""
-    scores = common.materialise(perplexities(docs, labels, order, id_col, text_col, lang_col), "kn-scores")
-    trusted = scores.where("perplexity IS NOT NULL").join(trusted_ids(labels), "doc_id", "left_semi")
-    value = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000)) * F.lit(slack)
+    """(doc_id, stratum, held_out, n_symbols, perplexity, threshold, kept)."""
+    scratch: list[str] = []
+    scores = common.materialise(perplexities(docs, labels, order, id_col, text_col, lang_col, scratch), "kn-scores")
+    for path in scratch:
+        common.remove(docs.sparkSession, path)
+    trusted = scores.where("held_out AND perplexity IS NOT NULL").join(trusted_ids(labels), "doc_id", "left_semi")
+    value = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10000))
     per_code = trusted.groupBy("stratum").agg(value.alias("threshold"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
     overall = trusted.agg(value).first()[0]
     limits = F.broadcast(per_code.select("stratum", "threshold"))  # one row per language code at most
     out = scores.join(limits, "stratum", "left").withColumn("threshold", F.coalesce(
         "threshold", F.lit(overall).cast("double"), F.lit(float("inf"))))
-    return out.select("doc_id", "stratum", "n_symbols", "perplexity", "threshold",
+    return out.select("doc_id", "stratum", "held_out", "n_symbols", "perplexity", "threshold",
                       F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
