@@ -50,7 +50,7 @@ START, END = 2, 3
 QUANTILE, MIN_TRUSTED = 0.99, 100
 #: One in so many trusted texts is kept out of the counts and sets the thresholds.
 HELD_OUT = 5
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 64_000_000
 BLOB_CHARS = 1_000_000
 BLOCK_SYMBOLS = 4_000_000
 #: Positions of the filter that keeps the unlabelled texts out of the training join.
@@ -142,25 +142,25 @@ class Orders:
         one, two, more = self.discounts[k]
         return F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
 
-    def tables(self, k: int) -> tuple[DataFrame, DataFrame]:
-        """(gram, seen): discounted share of its context; (context, back): weight left to the lower order."""
+    def contexts(self, k: int) -> DataFrame:
+        """(context, shares, total, back): the discounted count of each symbol seen after a context (at
+        most ``CLASSES``), the sum of counts, and the weight left to the lower order."""
         one, two, more = self.discounts[k]
-        own = self.counts[k].withColumn("context", F.shiftright("gram", SHIFT))
-        contexts = own.groupBy("context").agg(
-            F.sum("n").alias("total"), ((F.count_if(F.col("n") == 1) * one + F.count_if(F.col("n") == 2) * two
-                                         + F.count_if(F.col("n") > 2) * more) / F.sum("n")).alias("back"))
-        seen = own.join(contexts, "context").select("gram", ((F.col("n") - self.discount(k)) / F.col("total")).alias("seen"))
-        return seen, contexts.select("context", "back")
+        share = F.struct(F.col("gram").bitwiseAND(F.lit(CLASSES - 1)).alias("symbol"), (F.col("n") - self.discount(k)).alias("share"))
+        return self.counts[k].groupBy(F.shiftright("gram", SHIFT).alias("context")).agg(
+            F.map_from_entries(F.collect_list(share)).alias("shares"), F.sum("n").alias("total"),
+            ((F.count_if(F.col("n") == 1) * one + F.count_if(F.col("n") == 2) * two
+              + F.count_if(F.col("n") > 2) * more) / F.sum("n")).alias("back"))
 
     def probabilities(self, wanted: DataFrame) -> DataFrame:
-        """(gram, logp) of the distinct ``wanted(gram)``: one join to the counts and one to the contexts per order."""
+        """(gram, logp) of the distinct ``wanted(gram)``: one join by context per order."""
         rows = wanted.select("gram", F.lit(0.0).alias("p"), F.lit(1.0).alias("rest"))
+        symbol = F.col("gram").bitwiseAND(F.lit(CLASSES - 1))
         for k in range(self.order, 1, -1):
-            seen, back = self.tables(k)
-            suffix = F.col("gram").bitwiseAND(F.lit((1 << SHIFT * k) - 1))
-            rows = (rows.withColumn("own", suffix).withColumn("context", F.shiftright("own", SHIFT))
-                    .join(seen.withColumnRenamed("gram", "own"), "own", "left").join(back, "context", "left")
-                    .select("gram", (F.col("p") + F.col("rest") * F.coalesce("seen", F.lit(0.0))).alias("p"),
+            context = F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << SHIFT * k) - 1)), SHIFT)
+            seen = F.try_element_at("shares", symbol) / F.col("total")
+            rows = (rows.withColumn("context", context).join(self.contexts(k), "context", "left")
+                    .select("gram", (F.col("p") + F.col("rest") * F.coalesce(seen, F.lit(0.0))).alias("p"),
                             (F.col("rest") * F.coalesce("back", F.lit(1.0))).alias("rest")))
         # order 1 has the one context without symbols: at most CLASSES counts and two numbers
         one, two, more = self.discounts[1]
@@ -169,7 +169,7 @@ class Orders:
         total = float(total or 0)
         spare = (ones * one + twos * two + threes * more) / total if total else 1.0
         unigrams = self.counts[1].select(F.col("gram").alias("own"), ((F.col("n") - self.discount(1)) / max(total, 1.0)).alias("seen"))
-        return (rows.withColumn("own", F.col("gram").bitwiseAND(F.lit(CLASSES - 1))).join(unigrams, "own", "left")
+        return (rows.withColumn("own", F.col("gram").bitwiseAND(F.lit(CLASSES - 1))).join(F.broadcast(unigrams), "own", "left")
                 .select("gram", F.log(F.col("p") + F.col("rest") * (F.coalesce("seen", F.lit(0.0)) + spare / CLASSES)).alias("logp")))
 
 
