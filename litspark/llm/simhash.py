@@ -42,6 +42,8 @@ SEED = 42
 BITS = 64
 #: Fingerprints of one bucket that a task holds at once (8 bytes each).
 BUCKET_ROWS = 1 << 16
+#: A key with more than one in so many of a table's rows is a crowd: at most so many keys are.
+CROWD = 1000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
@@ -182,19 +184,29 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, rad
     fingerprint that stands for the component."""
     prints = common.materialise(fingerprints(docs, words_per_shingle, id_col, text_col)
                                 .withColumn("part", F.spark_partition_id()), "simhash")
-    least = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    least = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     roots = connected_components(near_links(least.select("fp"), radius, bucket_rows))
     member = roots.select(F.col("vertex").alias("fp"), "root").unionByName(
         roots.select(F.col("root").alias("fp"), "root").distinct())
-    linked = member.join(least, "fp")
-    lowest = linked.groupBy("root").agg(F.min("least").alias("lowest"))
-    moved = linked.join(lowest, "root").select("fp", "root", "lowest")
-    component = least.join(moved, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "least").alias("component_id"))
-    # copies share a fingerprint: it meets its component once per part, and the
-    # part's own copies after that, so a crowd of copies is never dealt to one task
-    per_part = prints.select("part", "fp").distinct().join(component, "fp")
-    return prints.join(per_part, ["part", "fp"]).select("doc_id", "fp", "root", "component_id")
+    linked = common.materialise(member.join(least.drop("n"), "fp"), "simhash-linked")
+    lowest = common.materialise(linked.groupBy("root").agg(F.min("least").alias("lowest"), F.count("*").alias("n")), "simhash-lowest")
+    moved = meet(linked, lowest, "root").select("fp", "root", "lowest")
+    component = common.materialise(least.join(moved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "least").alias("component_id"), "n"), "simhash-components")
+    return meet(prints, component, "fp", "part").select("doc_id", "fp", "root", "component_id")
+
+
+def meet(rows: DataFrame, facts: DataFrame, key: str, spread: str | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row per ``key`` and in ``n`` its
+    number of rows. Crowds, at most ``CROWD`` keys, are broadcast and their rows stay where they
+    are. Another key meets its facts once per value of ``spread``, its rows after that."""
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    crowds = F.broadcast(facts.where(F.col("n") * CROWD > F.lit(total)).drop("n"))
+    rest, known, on = rows.join(crowds.select(key), key, "left_anti"), facts.drop("n"), [key]
+    if spread:
+        on = [spread, key]
+        known = rest.select(on).distinct().join(known, key)
+    return rows.join(crowds, key).unionByName(rest.join(known, on))
 
 
 def hex_print(fp: Column) -> Column:

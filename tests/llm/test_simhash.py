@@ -64,9 +64,11 @@ def test_bucket_links_span_components():
         assert len(groups) == len({c for _, c in want})
 
 
-@pytest.mark.parametrize("bucket_rows", [S.BUCKET_ROWS, 4])
-def test_groups_match_brute_force(spark, bucket_rows, monkeypatch):
-    """Fingerprints put in place of texts' own: chains, crowds, copies and loners."""
+@pytest.mark.parametrize("bucket_rows, crowd", [(S.BUCKET_ROWS, S.CROWD), (4, 1), (S.BUCKET_ROWS, 12)])
+def test_groups_match_brute_force(spark, bucket_rows, crowd, monkeypatch):
+    """Fingerprints put in place of texts' own: chains, crowds, copies and loners. All keys
+    of so few rows are crowds, none is, and some are."""
+    monkeypatch.setattr(S, "CROWD", crowd)
     rng = random.Random(3)
     prints = []
     for _ in range(6):
@@ -74,7 +76,7 @@ def test_groups_match_brute_force(spark, bucket_rows, monkeypatch):
         for _ in range(10):
             prints.append(base ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))))
             base = prints[-1] if rng.random() < 0.3 else base
-    prints += [rng.getrandbits(64) for _ in range(20)] + prints[:5] + [0, 1, (1 << 64) - 1, (1 << 64) - 2]
+    prints += [rng.getrandbits(64) for _ in range(20)] + prints[:5] + prints[:1] * 20 + [0, 1, (1 << 64) - 1, (1 << 64) - 2]
     rows = [(i if i % 9 else None, S.signed(p)) for i, p in enumerate(prints, 100)]
     table = spark.createDataFrame(rows, "doc_id long, fp long")
     monkeypatch.setattr(S, "fingerprints", lambda *a, **k: table)
