@@ -10,11 +10,12 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from litspark.functions.constants import PUNCTUATION, STOPWORDS_V2
+from litspark.session import bound_batches
 
 ColumnOrName = Column | str
 
@@ -43,8 +44,9 @@ def unescape_entities(c: ColumnOrName) -> Column:
     """One-pass HTML entity decode (named, numeric, and the legacy forms without ';').
 
     The UDF input is null unless the value contains '&', so Arrow ships only
-    the rows that can change; the rest stay in the JVM.
+    the rows that can change; the rest stay in the JVM. Its batches are bounded.
     """
+    bound_batches(SparkSession.active())
     c = _col(c)
     decoded = _unescape_batch(F.when(c.contains("&"), c))
     return F.coalesce(decoded, c)

@@ -8,12 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.session import checkpoint_dir
-
-#: Rows and bytes of one Arrow batch handed to Python, so that a batch of very
-#: long texts stays small whatever the partition holds.
-BATCH_ROWS = 1000
-BATCH_BYTES = 32 << 20
+from litspark.session import bound_batches, checkpoint_dir  # noqa: F401
 
 _written: list[str] = []
 
@@ -22,13 +17,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (read when a plan is executed, so the bound stays
-    for what the session runs later)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def write_scratch(df: DataFrame, name: str) -> str:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and return the path."""
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

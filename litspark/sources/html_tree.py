@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import text as T
 from litspark.functions.constants import CARD_DEFAULTS
+from litspark.session import bound_batches
 
 # FIXED VALUES — element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +42,9 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
+#: Characters of pages whose trees are Python objects at once (a longer page alone).
+PARSE_CHARS = 1 << 20
+
 ELEMENT = "struct<tag:string,attrs:map<string,string>,parent:int,last:int,depth:int,start:int,end:int>"
 
 
@@ -93,18 +97,35 @@ def parse(page: str) -> tuple[str, list[dict]]:
     return "".join(text), elements
 
 
+_KIND = pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), *[
+    (name, pa.int32()) for name in ("parent", "last", "depth", "start", "end")]])
+
+
+def parse_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(id, text, elements) of a batch (id, page), in batches of about ``PARSE_CHARS`` characters of pages:
+    a tree takes many times its page's size until it is an Arrow row."""
+    at, chars, texts, trees = 0, 0, [], []
+    for n, page in enumerate(batch.column(1), 1):
+        page = page.as_py()
+        text, found = (None, []) if page is None else parse(page)
+        texts.append(text)
+        trees.append([e | {"attrs": list(e["attrs"].items())} for e in found])
+        chars += len(page or "")
+        if chars >= PARSE_CHARS or n == batch.num_rows:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(at, n - at), pa.array(texts, pa.string()), pa.array(trees, pa.list_(_KIND))],
+                names=[batch.schema.names[0], "text", "elements"])
+            at, chars, texts, trees = n, 0, [], []
+
+
 def parse_pages(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:
     """(id, text, elements) of every page; a null page has no text and no elements."""
+    bound_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = [(None, []) if page is None else parse(page) for page in batch.column(1).to_pylist()]
-            elements = [[e | {"attrs": list(e["attrs"].items())} for e in found] for _, found in parsed]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([t for t, _ in parsed], pa.string()), pa.array(elements, pa.list_(kind))],
-                names=[id_col, "text", "elements"])
+            yield from parse_batch(batch)
 
-    kind = pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), *[
-        (name, pa.int32()) for name in ("parent", "last", "depth", "start", "end")]])
     given = pages.select(id_col, F.col(html_col).cast("string"))
     return given.mapInArrow(run, f"`{id_col}` {given.schema[0].dataType.simpleString()}, text string, elements array<{ELEMENT}>")
 
