@@ -1,8 +1,10 @@
-"""Batches handed to Python stay small."""
+"""Batches handed to Python stay small; the record tree is written without a serial move of its folders."""
 
 import pyarrow as pa
 
+from litspark import fixtures
 from litspark.functions import text as T
+from litspark.plans import queries_landed
 from litspark.sources import html_tree
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -33,3 +35,14 @@ def test_pages_reach_python_in_bounded_batches(spark):
             assert {r["page_id"]: r["text"].rstrip("<").strip() for r in rows} == {i: str(i) for i in range(5000)}
     finally:
         spark.conf.set(ARROW_ROWS, before)
+
+
+def test_record_files_are_one_row_each_without_a_join(spark, tmpdir_path):
+    docs = [(1, "t1\nx", "s1", "en"), (1, "t1\nx", "s1", "en"), (2, None, "s2", "de"), (7, "seven", "a/b", "en"), (8, "n", None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    files = queries_landed._record_files(spark, tmpdir_path)
+    assert "Join" not in files._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["source"], r["number"]) for r in files.collect()) == [("a/b", 7), ("s1", 1), ("s1", 1), ("s2", 2)]
+    got = sorted(map(tuple, queries_landed.q_json_tree(spark, tmpdir_path).collect()), key=str)
+    assert [(g[0], g[1], g[2].split("/")[-1]) for g in got] == [(False, None, "number=7"), (True, "t1", "number=1"), (True, None, "number=2")]
+    assert fixtures.records_json(spark, tmpdir_path).count() == 5
