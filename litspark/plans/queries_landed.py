@@ -97,9 +97,7 @@ def q_json_tree(spark, sf_dir):
     """One JSON file per record in a tree of folders, read back: records and rejects with their folders."""
     path = _folder(spark, "record-tree")
     records = _record_files(spark, sf_dir).repartition("source", "number")
-    # each task moves its own files: the driver would move every folder by itself, one after another
-    records.write.partitionBy("source", "number").format("text").option(
-        "mapreduce.fileoutputcommitter.algorithm.version", "2").save(path)
+    records.write.partitionBy("source", "number").format("text").save(path)
     return _read_tree(spark, path)
 
 

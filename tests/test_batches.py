@@ -1,4 +1,4 @@
-"""Batches handed to Python stay small; the record tree is written without a serial move of its folders."""
+"""Batches handed to Python stay small; the record tree is written without a join."""
 
 import pyarrow as pa
 
