@@ -11,6 +11,7 @@ from litspark.operators import coherence, lang, topics
 from litspark.plans import sqlparts as S
 from litspark.plans import stages
 from litspark.plans.queries import register
+from litspark.session import stage_table
 
 FIXED_WORDS = sorted({w for ws in fixtures.TOPIC_WORDS.values() for w in ws})
 LDA_K = 4
@@ -104,13 +105,13 @@ def q_lda_invariants(spark, sf_dir):
     corpus = topics.Corpus(stages.document_tokens(spark, sf_dir))
     try:
         model = topics.fit_lda(corpus, LDA_K, FINAL_PASSES, LDA_SEED)
-        # stays in the JVM: no k x V rows as Python objects
-        every = model.describeTopics(len(corpus.vocabulary)).select(
-            F.col("topic").alias("topic_id"), F.posexplode("termWeights").alias("rank", "weight"))
+        every = stage_table(topics.ranked_weights(model, corpus), "ranked-weights")
     finally:
         corpus.release()
-    before = F.lag("weight").over(Window.partitionBy("topic_id").orderBy("rank"))
-    rows = every.withColumn("falls", F.coalesce(F.col("weight") <= before, F.lit(True)))
+    # a weight meets the one before it by a join: a topic has as many rows as the vocabulary has terms
+    before = every.select("topic_id", (F.col("rank") + 1).alias("rank"), F.col("weight").alias("before"))
+    rows = every.join(before, ["topic_id", "rank"], "left").withColumn(
+        "falls", F.coalesce(F.col("weight") <= F.col("before"), F.lit(True)))
     top = F.col("rank") < 10
     return rows.groupBy("topic_id").agg(
         F.count_if(top).cast("int").alias("n_terms"),
