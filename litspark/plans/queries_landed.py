@@ -12,7 +12,7 @@ from litspark.plans import stages
 from litspark.plans.queries import register
 from litspark.plans.queries_files import _folder
 from litspark.plans.queries_nested import _records_sql
-from litspark.sources import chain, files
+from litspark.sources import chain, files, sinks
 from litspark.sources import topics as topic_io
 
 # --------------------------------------------------------------------------
@@ -96,8 +96,7 @@ def _record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_json_tree(spark, sf_dir):
     """One JSON file per record in a tree of folders, read back: records and rejects with their folders."""
     path = _folder(spark, "record-tree")
-    records = _record_files(spark, sf_dir).repartition("source", "number")
-    records.write.partitionBy("source", "number").format("text").save(path)
+    sinks.write_tree(_record_files(spark, sf_dir), path, ["source", "number"])
     return _read_tree(spark, path)
 
 

@@ -1,11 +1,17 @@
-"""Batches handed to Python stay small; the record tree is written without a join."""
+"""Batches handed to Python stay small; the record tree is written without a join and by many tasks."""
+
+import glob
+import json
+import os
 
 import pyarrow as pa
+import pytest
 
 from litspark import fixtures
 from litspark.functions import text as T
 from litspark.plans import queries_landed
-from litspark.sources import html_tree
+from litspark.session import small_file_tasks
+from litspark.sources import files, html_tree, sinks
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -46,3 +52,53 @@ def test_record_files_are_one_row_each_without_a_join(spark, tmpdir_path):
     got = sorted(map(tuple, queries_landed.q_json_tree(spark, tmpdir_path).collect()), key=str)
     assert [(g[0], g[1], g[2].split("/")[-1]) for g in got] == [(False, None, "number=7"), (True, "t1", "number=1"), (True, None, "number=2")]
     assert fixtures.records_json(spark, tmpdir_path).count() == 5
+
+
+def _tree(path):
+    found = [f for f in glob.glob(f"{path}/**/*", recursive=True, include_hidden=True) if os.path.isfile(f)]
+    found = [f for f in found if not f.endswith(".crc") and not f.endswith("/_SUCCESS")]
+    return sorted((os.path.dirname(os.path.relpath(f, path)), open(f, "rb").read()) for f in found)
+
+
+def test_a_tree_of_files_is_that_of_sparks_writer(spark, tmpdir_path):
+    odd = "".join(map(chr, range(1, 128))) + "é\u3042"
+    rows = [(odd, 1, "x"), ("a/b", 2, "two\nlines"), ("a/b", 2, "two\nlines"), (None, 3, "é"), ("", 3, None), ("c", None, ""), *[(f"s{i % 7}", i, str(i)) for i in range(300)]]
+    df = spark.createDataFrame(rows, "source string, number long, value string")
+    sinks.write_tree(df, f"file:{tmpdir_path}/now", ["source", "number"])
+    df.repartition("source", "number").write.partitionBy("source", "number").format("text").save(f"{tmpdir_path}/spark")
+    got = _tree(f"{tmpdir_path}/now")
+    # (null and "" share a folder: the order of its lines is not Spark's to promise)
+    assert [(d, sorted(t.split(b"\n"))) for d, t in got] == [(d, sorted(t.split(b"\n"))) for d, t in _tree(f"{tmpdir_path}/spark")]
+    assert len(got) == 304 and all(os.path.basename(f) == "part-00000.txt" for f in glob.glob(f"{tmpdir_path}/now/*/*/*", include_hidden=True))
+    with pytest.raises(FileExistsError):
+        sinks.write_tree(df, f"{tmpdir_path}/now", ["source", "number"])
+    sinks.write_tree(df.limit(0), f"{tmpdir_path}/none", ["source", "number"])
+    assert _tree(f"{tmpdir_path}/none") == [] and files.read_json_tree(spark, f"{tmpdir_path}/none", glob="part-*")[0].collect() == []
+
+
+def test_a_failed_task_leaves_no_half_file(tmpdir_path):
+    def batches():
+        yield pa.RecordBatch.from_pydict({"k": ["a", "b"], "value": ["1", "2"]})
+        raise OSError("lost")
+
+    with pytest.raises(OSError, match="lost"):
+        list(sinks._tree_writer(tmpdir_path, ["k"])(batches()))
+    assert _tree(tmpdir_path) == [("k=a", b"1\n")]
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmpdir_path):
+    most = small_file_tasks(spark)
+    for i in range(3 * most):
+        os.makedirs(f"{tmpdir_path}/t/{i}")
+        with open(f"{tmpdir_path}/t/{i}/r.json", "w") as f:
+            f.write("{" if i % 3 == 0 else json.dumps({"abstracts-retrieval-response": {}}))
+    key, listing = "spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, listed = spark.conf.get(key), spark.conf.get(listing)
+    try:
+        spark.conf.set(key, str(1 << 30))  # a partition for each file
+        good, bad = files.read_json_tree(spark, f"{tmpdir_path}/t")
+        assert good.rdd.getNumPartitions() <= most and bad.rdd.getNumPartitions() <= most
+        assert (len(good.collect()), len(bad.collect())) == (2 * most, most)
+    finally:
+        spark.conf.set(key, before)
+    assert spark.conf.get(listing) == listed
